@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from rankloom.llm.media import op3_media_columns
+from rankloom.llm.packing import op4_cost_balanced_packing
 from rankloom.llm.secrets import op1_secret_scan
+from rankloom.llm.token_files import op5_token_files
 from rankloom.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op10_toxicity": op10_toxicity}
+    found = (op1_secret_scan, op3_media_columns, op4_cost_balanced_packing, op5_token_files, op10_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
