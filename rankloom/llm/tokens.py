@@ -10,14 +10,15 @@ other text goes through the library whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-import regex
 
-#: The split patterns of the two kinds of vocabulary file.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = regex.compile(r"[\n\x20-\x7e¡-įı-ɏ]*")
+#: The split patterns of the two kinds of vocabulary file, for the characters of _PLAIN.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+"
+WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+"
+_PLAIN = re.compile(r"[\n\x20-\x7e¡-įı-ɏ]*")
 
 #: Words that one worker remembers; beyond that it starts anew.
 CACHE_WORDS = 400_000
@@ -34,7 +35,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower = kind == "word"
-        self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
+        self.split = re.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self._reset()
 
     def _reset(self) -> None:
