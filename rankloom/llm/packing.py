@@ -145,7 +145,7 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
         def emit(pieces: Iterator[tuple]) -> None:
             for (doc, ids), start, n, seq, offset in pieces:
                 part = ids[start : start + n]
-                rows.append((doc, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), base + seq, offset, *([part] if with_ids else [])))
+                rows.append((doc, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), base + seq, offset, *([part.astype(np.int32)] if with_ids else [])))
 
         def out() -> pa.RecordBatch:
             b = batch(schema, list(zip(*rows, strict=True)))
@@ -156,7 +156,7 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
             for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 ids = np.append(encode(text), np.int32(end_id)).astype(np.uint16 if end_id < 65536 else np.int32)
                 emit(packer.add((doc, ids), len(ids)))
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield out()
         emit(packer.finish())
         if rows:
