@@ -111,9 +111,17 @@ def unfenced(c: Column | str) -> Column:
     return F.when(F.startswith(s, F.lit("```")), strip(inside)).otherwise(s)
 
 
+def parsed_json(c: Column | str) -> Column:
+    """The VARIANT of a whole JSON text, else null; Spark's own parser ignores what follows the first value."""
+    mark = "\\u0001end"
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), _text(c), F.lit(f',"{mark}"]'))), "$", "array<variant>")
+    whole = (F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == "\x01end")
+    return F.when(whole, F.get(pair, F.lit(0)))
+
+
 def parsed_object(c: Column | str) -> Column:
     """struct(value VARIANT, error): the JSON object in a model's answer, or why there is none."""
-    v = F.try_parse_json(unfenced(c))
+    v = parsed_json(unfenced(c))
     is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     error = F.when(v.isNull(), F.lit("invalid JSON")).when(~is_object, F.lit("expected a JSON object"))
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import parsed_json
+
 #: Patterns of secrets in repository files.
 SECRET_PATTERNS = {
     "aws_access_key": "AKIA[0-9A-Z]{16}",
@@ -33,7 +35,7 @@ def secret_counts(files: DataFrame, id_col: str, text_col: str, patterns: Mappin
 
 
 def invalid_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    return df.where(F.col(json_col).isNotNull() & F.try_parse_json(json_col).isNull()).select(F.col(id_col).alias("id"))
+    return df.where(F.col(json_col).isNotNull() & parsed_json(json_col).isNull()).select(F.col(id_col).alias("id"))
 
 
 def constraints(df: DataFrame, entity: Column, rules: Mapping[str, tuple[str, Column]]) -> DataFrame:
