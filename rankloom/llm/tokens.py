@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -21,12 +22,25 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+"
 _PLAIN = re.compile(r"[\n\x20-\x7e¡-įı-ɏ]*")
 
 #: Words that one worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _LOADED: dict[str, Encoder] = {}
 
 
+class _Words(dict):
+    """Numbers words as they are first asked for, and keeps the new ones in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
-    """Encodes lists of texts to flat ids. kind: "byte" or "word"."""
+    """Encodes texts to ids. kind: "byte" or "word"."""
 
     def __init__(self, path: str, kind: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,28 +53,30 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Words()
         self.flat = np.empty(1 << 16, dtype=np.int32)  # ids of known words, one after the other
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
+        self.ends = np.zeros(1 << 14, dtype=np.int64)  # where they end, by word
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.done = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, n, k = e.ids, len(e.ids), len(self.known)
-                while self.used + n > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                if k == len(self.starts):
-                    self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-                self.flat[self.used : self.used + n] = ids
-                self.starts[k], self.sizes[k] = self.used, n
-                self.known[word] = k
-                self.used += n
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        for at in range(0, len(new), 8192):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 8192], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            used = int(self.ends[self.done - 1]) if self.done else 0
+            total, count = int(sizes.sum()), self.done + len(ids)
+            if used + total > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * (used + total))
+            if count > len(self.ends):
+                self.ends, self.sizes = np.resize(self.ends, 2 * count), np.resize(self.sizes, 2 * count)
+            self.flat[used : used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
+            self.sizes[self.done : count] = sizes
+            self.ends[self.done : count] = used + np.cumsum(sizes)
+            self.done = count
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text, as the library gives them without special tokens."""
@@ -68,23 +84,17 @@ class Encoder:
             return np.empty(0, dtype=np.int32)
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
-        words = self.split(text.lower() if self.lower else text)
-        get = self.known.get
-        at = [get(w) for w in words]
-        if None in at:
-            if len(self.known) > CACHE_WORDS:
-                self._reset()
-                get = self.known.get
-                at = [None] * len(words)
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None)))
-            at = [self.known[w] for w in words]
+        if len(self.known) > CACHE_WORDS:
+            self._reset()
+        at = list(map(self.known.__getitem__, self.split(text.lower() if self.lower else text)))
+        if not at:
+            return np.empty(0, dtype=np.int32)
+        if self.known.new:
+            self._learn()
         at = np.array(at, dtype=np.int64)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        if not len(at) or not ends[-1]:
-            return np.empty(0, dtype=np.int32)
-        shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        return self.flat[shift + np.arange(ends[-1])]
+        stops = sizes.cumsum()
+        return self.flat[np.repeat(self.ends[at] - stops, sizes) + np.arange(stops[-1])]
 
 
 def encoder(path: str, kind: str) -> Encoder:
