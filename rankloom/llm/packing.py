@@ -33,8 +33,8 @@ from rankloom.llm.tokens import encoder, vocabulary
 LENGTH = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Tokens gathered before a window is packed: 1,024 sequences.
-WINDOW = 1024 * LENGTH
+#: Tokens gathered before a window is packed: 256 sequences.
+WINDOW = 256 * LENGTH
 
 
 def cost(n: int) -> float:
