@@ -132,7 +132,7 @@ def points(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(F.coalesce(usable, F.lit(False))).groupBy(v.alias("vector")).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("weight"))
 
 
-def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """(point, partners, root) rows, several a point, of points with partners; distinct: (point, vector, weight)."""
     spark = distinct.sparkSession
     total = distinct.count()
@@ -140,7 +140,7 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     sample = [r.vector for r in distinct.select("vector").where(F.pmod(F.xxhash64(F.lit(3), "vector"), 1_000_000) < int(share * 1_000_000)).limit(SAMPLE).collect()]
     dim = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
     known = unit(np.array([v for v in sample if len(v) == dim], dtype=np.float64)) if dim else np.empty((0, 0))
-    centres = spherical_kmeans(known, max(1, min(MAX_CELLS, total // CELL))) if dim else known
+    centres = spherical_kmeans(known, max(1, min(MAX_CELLS, total // cell))) if dim else known
     shared = spark.sparkContext.broadcast((dim, centres))
     out = pa.schema([("cell", pa.int64()), ("visitor", pa.bool_()), ("point", pa.int64()), ("weight", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
@@ -159,9 +159,7 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
             yield batch(out, [[c for c, *_ in rows], [v for _, v, _ in rows], b.column("point").take(take), b.column("weight").take(take), b.column("vector").take(take).cast(pa.list_(pa.float64()))])
 
     arrow_batches(spark)
-    kind = distinct.schema["vector"].dataType.simpleString()
-    out = pa.schema([*list(out)[:4], ("vector", pa.list_(pa.float64()))])
-    placed = saved(distinct.select("point", "weight", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "cell long, visitor boolean, point long, weight long, vector array<double>"), f"cells-{len(kind)}")
+    placed = saved(distinct.select("point", "weight", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "cell long, visitor boolean, point long, weight long, vector array<double>"), "cells")
     # Blocks: members of a cell into nm, visitors into nv. Member blocks are visitors of later member blocks.
     sizes = placed.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("members"), F.count_if("visitor").alias("guests"))
     sizes = sizes.select("cell", F.ceil(F.greatest(F.col("members"), F.lit(1)) / block).cast("int").alias("nm"), F.greatest(F.ceil(F.col("guests") / block), F.lit(1)).cast("int").alias("nv"))
@@ -188,12 +186,12 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     return groups.groupBy("cell", "m", "g").applyInArrow(compare, "point long, partners long, root long")
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row; kept: the one representative of its component."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
     # A point is named by a number of its own, since ids can be null or repeat.
     distinct = saved(points(rows, "vec_id", "vector").withColumn("point", F.monotonically_increasing_id()), "points")
-    found = saved(linked(distinct, threshold), "near")
+    found = saved(linked(distinct, threshold, block, cell), "near")
     partners = found.groupBy("point").agg(F.sum("partners").alias("partners"))
     roots = components(found.select(F.col("root").alias("a"), F.col("point").alias("b")))
     lows = roots.join(distinct.select(F.col("point").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component"))

@@ -147,20 +147,20 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS_BITS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS_BITS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within `radius` (2 at most) bits; fps: (fp)."""
     if radius > 2:
         raise ValueError("four blocks find pairs within 2 bits")
     cuts = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
     keys = [F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(cuts[a], 16)).bitwiseOR(cuts[b]) for n, (a, b) in enumerate((a, b) for a in range(4) for b in range(a))]
-    return shard_links(fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp"), radius)
+    return shard_links(fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp"), radius, block)
 
 
-def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS_BITS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; fingerprints link within `radius` bits."""
     fps = saved(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(fingerprint_links(distinct.select("fp"), radius))
+    roots = components(fingerprint_links(distinct.select("fp"), radius, block))
     # Fingerprints that link with others are few; each gets its component's smallest doc_id.
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
@@ -219,12 +219,12 @@ def _jaccard_links(rows: list[tuple], least: float) -> list[tuple]:
     return forest.links(names)
 
 
-def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, least: float = NEAR_JACCARD, shards: int = NEAR_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, least: float = NEAR_JACCARD, shards: int = NEAR_SHARDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, near_block: int = NEAR_BLOCK) -> DataFrame:
     """(doc_id, component_id) of each document that isn't the first of its group of alike texts."""
     known = df.where(df[id_col].isNotNull())
     sketches = saved(_sketches(known, shingle, shards, id_col, text_col), "sketches")
     contents = saved(sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("node"), "c.fp", "c.keys"), "contents")
-    tried = components(shard_links(contents.select(F.explode("keys").alias("key"), "node", "fp"), radius))
+    tried = components(shard_links(contents.select(F.explode("keys").alias("key"), "node", "fp"), radius, block))
     # Only contents that a tree found alike to another are read again, and checked on whole shingle sets.
     candidates = tried.withColumnRenamed("root", "cluster")
     bodies = known.select(known[id_col].cast("long").alias("node"), known[text_col].alias("text")).join(candidates, "node")
@@ -241,7 +241,7 @@ def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_R
 
     arrow_batches(df.sparkSession)
     bodies = saved(bodies.select("cluster", "node", "text").mapInArrow(hashed, "cluster long, node long, body binary").dropDuplicates(["node"]), "bodies")
-    pairs = blocked(bodies, "cluster", "node", NEAR_BLOCK).select("cluster", "i", "j", "node", "body", "s")
+    pairs = blocked(bodies, "cluster", "node", near_block).select("cluster", "i", "j", "node", "body", "s")
     links = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(check, "a long, b long")
     roots = components(links)
     placed = contents.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
