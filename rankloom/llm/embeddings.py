@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +104,17 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, upper: bool) ->
     return np.concatenate(found_i or [np.empty(0, int)]), np.concatenate(found_j or [np.empty(0, int)])
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix of doubles."""
+    flat = np.asarray(vectors.flatten(), dtype=np.float64)
+    return flat.reshape(len(vectors), -1)
+
+
 def _compare(group: pa.Table, threshold: float) -> list[tuple]:
     """(point, weight of partners, root of its tree) of points with partners in one task's group."""
     point, weight = group["point"].to_pylist(), np.array(group["weight"].to_pylist(), dtype=np.int64)
     role = np.array(group["visitor"].to_pylist(), dtype=bool)
-    x = np.array(group["vector"].to_pylist(), dtype=np.float64)
+    x = _matrix(group["vector"].combine_chunks())
     members, visitors = np.flatnonzero(~role), np.flatnonzero(role)
     forest, partners = Forest(len(point)), np.zeros(len(point), dtype=np.int64)
     tasks = [(members, visitors, False)] if len(visitors) and len(members) else []
@@ -147,18 +154,21 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, centres = shared.value
         for b in batches:
-            vectors = b.column("vector").to_pylist()
-            rows, usual = [], [n for n, v in enumerate(vectors) if len(v) == dim]
-            rows += [(-len(v), False, n) for n, v in enumerate(vectors) if len(v) != dim]
-            if usual:
-                home, visits = cells_of(unit(np.array([vectors[n] for n in usual], dtype=np.float64)), centres, threshold)
-                for n, h, later in zip(usual, home.tolist(), visits, strict=True):
+            vectors = b.column("vector")
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            usual = np.flatnonzero(sizes == dim)
+            rows = [(-int(sizes[n]), False, n) for n in np.flatnonzero(sizes != dim).tolist()]
+            if len(usual):
+                home, visits = cells_of(unit(_matrix(vectors.take(pa.array(usual)))), centres, threshold)
+                for n, h, later in zip(usual.tolist(), home.tolist(), visits, strict=True):
                     rows.append((h, False, n))
                     rows += [(c, True, n) for c in later.tolist()]
-            take = pa.array([n for *_, n in rows], type=pa.int64())
-            yield batch(out, [[c for c, *_ in rows], [v for _, v, _ in rows], b.column("point").take(take), b.column("weight").take(take), b.column("vector").take(take).cast(pa.list_(pa.float64()))])
+            for at in range(0, len(rows), 8192):  # bounded, however many cells a vector visits
+                part = rows[at : at + 8192]
+                take = pa.array([n for *_, n in part], type=pa.int64())
+                yield batch(out, [[c for c, *_ in part], [v for _, v, _ in part], b.column("point").take(take), b.column("weight").take(take), vectors.take(take)])
 
-    arrow_batches(spark)
+    arrow_batches(spark, 512)
     placed = saved(distinct.select("point", "weight", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "cell long, visitor boolean, point long, weight long, vector array<double>"), "cells")
     # Blocks: members of a cell into nm, visitors into nv. Member blocks are visitors of later member blocks.
     sizes = placed.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("members"), F.count_if("visitor").alias("guests"))
