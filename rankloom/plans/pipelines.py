@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import chunking, evaluation, retrieval, scoring
+from rankloom.operators import chunking, evaluation, extraction, retrieval, scoring
 from rankloom.sources import readers
 
 
@@ -63,3 +63,26 @@ def run_eval(spec: DataFrame, gold: DataFrame, runs: DataFrame, judged: DataFram
 def _failed(runs: DataFrame) -> DataFrame:
     """Documents whose call failed score as documents without any value."""
     return runs.where("field IS NULL").select("model", "doc_id", F.lit("").alias("field"), "value")
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """(model, doc_id, failed, n_fields, n_null) for each document of each run."""
+    return runs.groupBy("model", "doc_id").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("failed"), F.count("field").alias("n_fields"), F.count_if(F.col("field").isNotNull() & F.col("value").isNull()).alias("n_null")
+    )
+
+
+def run_live(documents: DataFrame, spec: DataFrame, gold: DataFrame, chat: extraction.Chat, model: str, doc_id: str, retry: extraction.Retry = extraction.Retry()) -> DataFrame:
+    """One document extracted now: (field, predicted, gold, equal, correct, error); equal compares JSON texts strictly.
+
+    KeyError for a document without text or field specification.
+    """
+    one, fields = documents.where(F.col("doc_id") == doc_id), spec.where(F.col("doc_id") == doc_id)
+    if not one.limit(1).count() or not fields.limit(1).count():
+        raise KeyError(doc_id)
+    answers = extraction.extract(one, fields, chat, model, retry=retry)
+    runs = extraction.to_fields(answers, fields)
+    pairs = scoring.score_fields(scoring.field_pairs(fields, gold, runs)).select("doc_id", "field", "field_ix", "score.correct")
+    both = runs.withColumnRenamed("value", "predicted").join(gold.withColumnRenamed("value", "gold"), ["doc_id", "field"], "left")
+    compared = both.join(pairs, ["doc_id", "field"]).join(answers.select("doc_id", "error"), "doc_id")
+    return compared.select("field_ix", "field", F.to_json("predicted").alias("predicted"), F.to_json("gold").alias("gold"), scoring.strictly_equal(F.col("predicted"), F.col("gold")).alias("equal"), "correct", "error")

@@ -322,6 +322,16 @@ def test_run_sink_replaces_partitions(spark, golden, tmp_path):
     assert [(r.model, r.doc_id, r.field) for r in sinks.load_runs(spark, path).collect()] == [("m:1", "d1", "n")]
 
 
+def test_run_summary_and_live(spark, golden):
+    got = {r.doc_id: (r.failed, r.n_fields, r.n_null) for r in pipelines.run_summary(readers.runs(spark, f"{golden}/runs/*.json")).collect()}
+    assert got == {"d1": (False, 4, 1), "d2": (True, 0, 0)}
+    spec, gold, docs = readers.field_spec(spark, f"{golden}/spec.json"), readers.golden_records(spark, golden), readers.documents(spark, golden)
+    live = pipelines.run_live(docs, spec, gold, lambda system, user: '{"title": "ALPHA", "n": 10, "tags": ["b", "a"]}', "m", "d1")
+    assert {r.field: (r.equal, r.correct) for r in live.collect()} == {"title": (False, True), "n": (True, True), "tags": (False, True), "nothing": (True, True)}
+    with pytest.raises(KeyError):
+        pipelines.run_live(docs, spec, gold, None, "m", "d9")
+
+
 def test_embedding_cache(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"h": "a", "v": [1, 2]}\nnot json\n{"h": "b"}\n\n{"h": "a", "v": [3]}\n')
     assert [(r.h, r.v) for r in readers.embedding_cache(spark, str(tmp_path / "c.jsonl"), "m").collect()] == [("a", [3.0])]
