@@ -3,8 +3,8 @@
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs that stand for
 letters to those letters. The lexicon holds word beginnings with weights. Weights are learned: on a
 bounded sample of labelled rows (LEARN_ROWS, chosen by hash) the log odds of each word beginning
-is estimated, the shortest beginnings that predict the label are kept, and beginnings that clean
-texts use are left out. A seed list gives well-known words a prior weight. One automaton over
+is estimated, beginnings that predict the label are kept (of those that the same texts share, the longest),
+and beginnings that clean texts use are left out. A seed list gives well-known words a prior weight. One automaton over
 " beginning" strings matches all of them in one pass, so only word beginnings count; matches inside
 an exception phrase are dropped. The sum of matched weights is normalised by length and squashed:
 score = 1 - exp(-RATE * hits_weight / (1 + words / LENGTH)), so one strong hit in a text of some
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import arrow_batches, batch, table, texts
 
 #: Labelled rows used for learning, at most; taken by hash of doc_id, the smallest first.
-LEARN_ROWS = 30_000
+LEARN_ROWS = 12_000
 HELD_OUT_MOD = 5
 #: Characters of a learned text, so that the sample is bounded in bytes as well. Scoring reads whole texts.
-LEARN_CHARS = 20_000
+LEARN_CHARS = 10_000
 SEED_LEXICON = (
     "idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown",
     "imbecile", "dumbass", "bastard", "retard", "cretin", "vermin", "filth", "degenerate",
@@ -73,37 +74,49 @@ def _family(words: set[str], label: int) -> tuple:
     return (label, *rare) if len(rare) == 3 else (label, *sorted(words))
 
 
+def _stems(words: list[str], k: int, within: set[str] | None) -> set[str]:
+    """Beginnings of k letters of the words that start with one of `within`."""
+    known = words if within is None else [w for w in words if w[: k - 1] in within]
+    return {w[:k] for w in known if len(w) >= k}
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Weights of word beginnings from (text, toxic) rows; stems are dropped if a shorter one says the same."""
-    toxic, clean = Counter(), Counter()
-    n_toxic = n_clean = 0
-    seen = set()
+    """Weights of word beginnings from (text, toxic) rows; stems are dropped if a shorter one says the same.
+
+    Beginnings are counted level by level: one can be frequent only if the next shorter one is, so few are held.
+    """
+    seen, toxic, clean = set(), [], []
     for text, label in rows:
-        words = set(fold(text[:LEARN_CHARS]).split())
-        if (family := _family(words, label)) in seen:
-            continue
-        seen.add(family)
-        stems = {w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)} | {w + " " for w in words if len(w) <= MAX_STEM}
-        if label:
-            toxic.update(stems)
-            n_toxic += 1
-        else:
-            clean.update(stems)
-            n_clean += 1
+        words = {sys.intern(w) for w in fold(text[:LEARN_CHARS]).split()}
+        if (family := _family(words, label)) not in seen:
+            seen.add(family)
+            (toxic if label else clean).append([w for w in words if len(w) >= MIN_STEM])
     lexicon = {w: SEED_WEIGHT for w in SEED_LEXICON}
-    if not n_toxic or not n_clean:
+    if not toxic or not clean:
         return lexicon
-    good = {}
-    for s, t in toxic.items():
-        c = clean[s]
-        if t >= MIN_DOCS and t >= PURITY * (t + c):
-            good[s] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
     # The evidence has to come from many texts; families count once, as copies repeat all their words together.
-    floor = max(MIN_DOCS, 0.02 * n_toxic)
-    for s in sorted(good, key=lambda s: (len(s), s)):
-        if toxic[s] >= floor and good[s] > 1.5 and not any(s[:k] in lexicon for k in range(MIN_STEM, len(s))):
-            lexicon[s] = min(SEED_WEIGHT, good[s])
-    for s in [s for s in lexicon if clean[s] > 0.2 * (toxic[s] + clean[s]) and toxic[s] + clean[s] >= MIN_DOCS]:
+    floor = max(MIN_DOCS, 0.02 * len(toxic))
+    counts: dict[str, int] = {}
+    within = None
+    for k in range(MIN_STEM, MAX_STEM + 1):
+        level = Counter()
+        for words in toxic:
+            level.update(_stems(words, k, within))
+        frequent = {s: n for s, n in level.items() if n >= floor}
+        counts |= frequent
+        within = set(frequent)
+    harmless = Counter()
+    wanted = counts.keys() | set(lexicon)
+    for words in clean:
+        harmless.update({w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1) if w[:k] in wanted})
+    for s in sorted(counts, key=lambda s: (len(s), s)):
+        odds = math.log((counts[s] + 0.5) / (len(toxic) + 1)) - math.log((harmless[s] + 0.5) / (len(clean) + 1))
+        if counts[s] >= PURITY * (counts[s] + harmless[s]) and odds > 1.5 and not any(s[:k] in lexicon for k in range(MIN_STEM, len(s))):
+            # The longest stem that nearly all of its texts share says the same and matches fewer other words.
+            while longer := [t for t in counts if len(t) == len(s) + 1 and t.startswith(s) and counts[t] >= 0.95 * counts[s]]:
+                s = min(longer)
+            lexicon[s] = min(SEED_WEIGHT, odds)
+    for s in [s for s in SEED_LEXICON if harmless[s] >= MIN_DOCS and harmless[s] > 0.2 * (counts.get(s, 0) + harmless[s])]:
         del lexicon[s]  # seeds that this corpus uses harmlessly
     return lexicon
 
@@ -141,7 +154,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % mod != held)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "label")
+    # Two numbers for each of at most `rows` rows: small enough to broadcast, so that texts aren't shuffled.
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
 def learned(documents: DataFrame, labels: DataFrame) -> dict[str, float]:
