@@ -53,18 +53,26 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _FULL_WIDTH = {0xFF41 + i: chr(97 + i) for i in range(26)}
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | _FULL_WIDTH | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None, 0xFEFF: None}
 _DIGIT_FOLD = str.maketrans(DIGITS)
-#: A word that mixes letters with digits or signs that stand for letters, inside it.
-_MIXED = re.compile(r"(?=[0-9@$!]*[^\W\d_])[^\W_@$!]*(?:[0-9@$!]+[^\W\d_]+)+[0-9]*|[0-9]*[^\W\d_]+[0-9]+[^\W\d_]*")
+#: Runs of digits or signs; they stand for letters next to letters (see _as_letters).
+_SIGNS = re.compile("[0-9@$!]+")
 _NON_LATIN = re.compile("[­ıɑ-￿]")
 _GAPS = re.compile(r"[\W_]+")
 
 
+def _as_letters(m: re.Match) -> str:
+    """A run before a letter becomes letters, and so does one of digits after a letter."""
+    text, at, end = m.string, m.start(), m.end()
+    if end < len(text) and text[end].isalpha() or at and text[at - 1].isalpha() and m[0].isdigit():
+        return m[0].translate(_DIGIT_FOLD)
+    return m[0]
+
+
 def fold(text: str) -> str:
     """Lower case; homoglyphs and, within words, digit substitutions become letters; anything but letters and digits one blank."""
     low = text.lower()
     if _NON_LATIN.search(low):
         low = low.translate(_FOLD)
-    low = _MIXED.sub(lambda m: m[0].translate(_DIGIT_FOLD), low)
+    low = _SIGNS.sub(_as_letters, low)
     return " " + _GAPS.sub(" ", low) + " "
 
 
