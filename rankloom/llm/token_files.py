@@ -7,8 +7,9 @@ byte up in tables of 256 rows and gathers the bytes with numpy, without a loop o
 
 A shard is one binary value: magic, version, number of documents and of ids, the documents' ids and
 sizes, then control bytes and data bytes, with a checksum. Shards are rows of a Parquet table in
-ascending doc_id order (shard, first, n_docs, n_tokens, blob), written by Spark, so they can lie in any
-store that Spark writes to; the rank table lies beside it.
+ascending doc_id order (part, k, first, n_docs, n_tokens, blob), written by Spark, so they can lie in any
+store that Spark writes to. first counts the part's ids before a shard, so that a reader needs only the sums
+of parts, of which there are as many as write tasks.
 
 Defined cases: null or empty text has the end id alone; a null doc_id sorts first; repeated doc_ids stay
 rows of their own, next to each other, by text; an empty table gives empty files.
@@ -33,12 +34,11 @@ END_ID = 0
 MAGIC = b"RVB1"
 #: Tokens of one shard, about; a shard ends with the document that reaches it.
 SHARD_TOKENS = 1 << 21
+_SHARDS = "part long, k long, first long, n_docs long, n_tokens long, blob binary"
 _NULL = -(1 << 63)  # stands for a null doc_id
 
-_CONTROL = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
-#: For each control byte: the byte counts of its four values, and their sum.
-SIZES = (_CONTROL + 1).astype(np.uint8)
-TOTALS = SIZES.sum(axis=1).astype(np.int64)
+#: For each control byte: the byte counts of its four values.
+SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
@@ -85,7 +85,7 @@ def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokenized(df: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids as little-endian 32-bit bytes, the end id last."""
+    """(doc_id, ids): the ids as little-endian 16-bit bytes (the vocabulary is smaller), the end id last."""
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +104,7 @@ def rank_table(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16) if len(x) > 1 << 17 else 0
-                if len(x) <= 1 << 17:
-                    np.add.at(counts, np.frombuffer(x, "<u2"), 1)
+            counts += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         at = np.flatnonzero(counts)
         yield batch(out, [at.astype(np.int32), counts[at]])
 
@@ -121,14 +118,14 @@ def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int) -
     place = np.zeros(1 << 16, dtype=np.uint32)
     place[ranks] = np.arange(len(ranks), dtype=np.uint32)
     known = spark.sparkContext.broadcast(place)  # at most one number an id of the vocabulary
-    out = pa.schema([("part", pa.int64()), ("k", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
+    out = pa.schema([*((c, pa.int64()) for c in ("part", "k", "first", "n_docs", "n_tokens")), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, docs, parts, tokens = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, first, docs, parts, tokens = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
             ranks_ = known.value[np.concatenate([np.frombuffer(p, "<u2") for p in parts])]
-            return batch(out, [[part], [k], [len(docs)], [tokens], [write_shard(docs, [len(p) // 2 for p in parts], ranks_)]])
+            return batch(out, [[part], [k], [first], [len(docs)], [tokens], [write_shard(docs, [len(p) // 2 for p in parts], ranks_)]])
 
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -137,38 +134,34 @@ def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int) -
                 tokens += len(x) // 2
                 if tokens >= SHARD_TOKENS:
                     yield shard()
-                    k, docs, parts, tokens = k + 1, [], [], 0
+                    k, first, docs, parts, tokens = k + 1, first + tokens, [], [], 0
         if docs:
             yield shard()
 
     dealt = ids.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(run, "part long, k long, n_docs long, n_tokens long, blob binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(run, _SHARDS).write.option("compression", "none").parquet(path)
 
 
 def read_files(spark, path: str, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone.
-
-    Starts: a sum over the shards before, of which there is one for each SHARD_TOKENS tokens; the shards'
-    counts are summed by a window over parts, and one inside each part.
-    """
-    stored = spark.read.schema("part long, k long, n_docs long, n_tokens long, blob binary").parquet(path)
-    counts = stored.select("part", "k", "n_tokens").collect()  # two numbers a shard of some MB
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
+    stored = spark.read.schema(_SHARDS).parquet(path)
+    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a number a write task
     starts, total = {}, 0
-    for r in sorted(counts, key=lambda r: (r.part, r.k)):
-        starts[r.part, r.k] = total
-        total += r.n_tokens
+    for r in sorted(parts):
+        starts[r.part] = total
+        total += r.n
     known = spark.sparkContext.broadcast((ranks, starts))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank, first = known.value
+        by_rank, before = known.value
         for b in batches:
-            for part, k, blob in zip(*(b.column(c).to_pylist() for c in (0, 1, 4)), strict=True):
+            for part, first, blob in zip(*(b.column(c).to_pylist() for c in (0, 2, 5)), strict=True):
                 docs, sizes, values = read_shard(blob)
                 ids = by_rank[values].astype("<u4")
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield batch(out, [[None if d == _NULL else d for d in docs.tolist()], first[part, k] + ends - sizes, sizes, crcs])
+                yield batch(out, [[None if d == _NULL else d for d in docs.tolist()], before[part] + first + ends - sizes, sizes, crcs])
 
     arrow_batches(spark, 16)
     return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
