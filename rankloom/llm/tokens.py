@@ -22,7 +22,7 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+"
 _PLAIN = re.compile(r"[\n\x20-\x7e¡-įı-ɏ]*")
 
 #: Words that one worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 _LOADED: dict[str, Encoder] = {}
 
 
