@@ -40,7 +40,7 @@ from rankloom.llm.graph import Forest, blocked, components, runs
 
 SHINGLE, RADIUS_BITS = 3, 2
 NEAR_SHINGLE, NEAR_RADIUS, NEAR_JACCARD, NEAR_SHARDS = 5, 16, 0.8, 10
-BLOCK, NEAR_BLOCK = 2048, 256
+BLOCK, NEAR_BLOCK = 512, 256
 _SEED = 42
 
 
