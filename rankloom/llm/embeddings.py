@@ -122,9 +122,10 @@ def _compare(group: pa.Table, threshold: float) -> list[tuple]:
         tasks.append((members, members, True))
     for a, b, upper in tasks:
         for at in range(0, len(a), 4096):
-            part = a[at : at + 4096]
-            i, j = close_pairs(x[part], x[b], threshold, upper)
-            i, j = part[i], b[j]
+            # A slice of a block with itself meets itself and what follows, so that i < j holds for the block's rows too.
+            part, rest = a[at : at + 4096], b[at:] if upper else b
+            i, j = close_pairs(x[part], x[rest], threshold, upper)
+            i, j = part[i], rest[j]
             np.add.at(partners, i, weight[j])
             np.add.at(partners, j, weight[i])
             for p, q in zip(i.tolist(), j.tolist(), strict=True):

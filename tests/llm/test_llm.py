@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -127,6 +128,21 @@ def test_embeddings_against_brute_force(spark, block, cell):
     assert got == {i: (n[i], low[i], low[i] == i) for i in ids}
 
 
+def test_a_block_over_the_slice_size():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4400, 24))
+    x[4200:4260] = x[10:70] + rng.normal(size=(60, 24)) * 0.01  # over the slices' border
+    x[4300:4320] = x[4280:4300] * 3 + rng.normal(size=(20, 24)) * 0.01  # within the last slice
+    x[100:120] = x[80:100] + rng.normal(size=(20, 24)) * 0.01  # within the first one
+    weight = rng.integers(1, 4, len(x))
+    u = embeddings.unit(x)
+    alike = u @ u.T >= 0.95
+    np.fill_diagonal(alike, False)
+    group = pa.table({"point": list(range(len(x))), "weight": weight.tolist(), "visitor": [False] * len(x), "vector": list(x), "first": [True] * len(x)})
+    got = {p: n for p, n, _ in embeddings._compare(group, 0.95)}
+    assert got == {p: int(weight[alike[p]].sum()) for p in np.flatnonzero(alike.any(axis=1)).tolist()} and len(got) == 200
+
+
 def test_embeddings_edges(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(empty).count() == 0
