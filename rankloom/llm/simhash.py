@@ -9,12 +9,13 @@ The trees are built shard by shard. A shard of *all* fingerprints could be neith
 
 * fingerprint_links(): all pairs within 2 bits, exactly. 64 bits are cut into 4 blocks of 16; two
   fingerprints within 2 bits agree in 2 blocks at least, so there is a shard for each 2 blocks and their bits.
-* near_duplicates(): texts alike in at least a given share of their shingle sets (Jaccard). Such texts can
-  differ in a dozen bits, where a search of all fingerprints follows every edge. Shards are pairs of
-  min-hashes of the shingles; the trees search them within RADIUS bits, and exact Jaccard on whole
-  shingle sets decides.
+* near_groups(): texts alike in at least a given share of their shingle sets (Jaccard). Fingerprints of such
+  texts can differ in any number of bits, the more the shorter the texts are, so neither fingerprints nor
+  trees decide here. Shards are pairs of min-hashes of the shingles. Members whose set sizes allow the
+  similarity at all join one cluster, and exact Jaccard on whole shingle sets decides for each two of a
+  cluster. Only pairs that share none of NEAR_SHARDS shards can be missed: (1 - J * J) ** NEAR_SHARDS.
 
-A shard of more than BLOCK members is cut into blocks, and a tree of one block is searched with the members
+A shard of op6 with more than BLOCK members is cut into blocks, and a tree of one block is searched with the members
 of another, for each two blocks; no task holds more than two blocks. A task returns a forest of its links,
 never all pairs, and the components of all forests are the groups.
 
@@ -27,6 +28,7 @@ are one document; of several the one with the smallest text stays. Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from rankloom.llm.common import arrow_batches, batch, saved, table, texts
 from rankloom.llm.graph import Forest, blocked, components, runs
 
 SHINGLE, RADIUS_BITS = 3, 2
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_JACCARD, NEAR_SHARDS = 5, 16, 0.8, 10
+NEAR_SHINGLE, NEAR_JACCARD, NEAR_SHARDS = 5, 0.8, 10
 BLOCK, NEAR_BLOCK = 512, 256
 _SEED = 42
 
@@ -169,8 +171,8 @@ def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS_BITS, id_
 
 
 def _sketches(df: DataFrame, shingle: int, shards: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, fp, keys): of the set of shingles, so that texts with equal sets are one content."""
-    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, digest, size, keys): of the set of shingles, so that texts with equal sets are one content."""
+    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
     odd = np.random.default_rng(20240601).integers(1, 1 << 63, 2 * shards, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def one(text: str) -> tuple[bytes, int, list[int]]:
@@ -181,16 +183,28 @@ def _sketches(df: DataFrame, shingle: int, shards: int, id_col: str, text_col: s
         with np.errstate(over="ignore"):
             low = np.array([((h ^ (h >> np.uint64(29))) * m).min() for m in odd])
             keys = (low[::2] * np.uint64(0x9E3779B97F4A7C15) ^ low[1::2]) + np.arange(shards, dtype=np.uint64)
-        return digest, fingerprint(h), keys.view(np.int64).tolist()
+        return digest, len(h), keys.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [one(t) for t in texts(b.column(1))]
-            fps = np.array([f for _, f, _ in found], dtype=np.uint64).view(np.int64)
-            yield batch(out, [b.column(0), [d for d, _, _ in found], fps, [k for _, _, k in found]])
+            yield batch(out, [b.column(0), *([f[k] for f in found] for k in range(3))])
 
     arrow_batches(df.sparkSession)
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>")
+
+
+def _meetings(contents: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect any two members of a shard whose sizes allow the similarity; contents: (node, size, keys).
+
+    Jaccard is at most the ratio of the sizes. Sizes are cut where they grow by 1 / least, so two that allow it
+    are in one class or in neighbouring ones, and each member goes to its own class's shard and to the next one's.
+    """
+    level = F.floor(F.log("size") / (math.log(1 / least) + 1e-9))
+    keys = F.flatten(F.transform("keys", lambda k: F.array(F.xxhash64(k, level), F.xxhash64(k, level + 1))))
+    shards = contents.select("node", F.explode(keys).alias("key"))
+    heads = shards.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    return shards.join(heads.select("key", "a"), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def _jaccard_links(rows: list[tuple], least: float) -> list[tuple]:
@@ -219,13 +233,16 @@ def _jaccard_links(rows: list[tuple], least: float) -> list[tuple]:
     return forest.links(names)
 
 
-def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, least: float = NEAR_JACCARD, shards: int = NEAR_SHARDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, near_block: int = NEAR_BLOCK) -> DataFrame:
-    """(doc_id, component_id) of each document that isn't the first of its group of alike texts."""
+def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_JACCARD, shards: int = NEAR_SHARDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, near_block: int = NEAR_BLOCK) -> DataFrame:
+    """(doc_id, component_id) of each document that isn't the first of its group of alike texts.
+
+    near_block bounds the groups of the exact comparison; block (of a tree's group) has no part in it, and is taken as groups() takes it.
+    """
     known = df.where(df[id_col].isNotNull())
     sketches = saved(_sketches(known, shingle, shards, id_col, text_col), "sketches")
-    contents = saved(sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("node"), "c.fp", "c.keys"), "contents")
-    tried = components(shard_links(contents.select(F.explode("keys").alias("key"), "node", "fp"), radius, block))
-    # Only contents that a tree found alike to another are read again, and checked on whole shingle sets.
+    contents = saved(sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("node"), "c.size", "c.keys"), "contents")
+    tried = components(saved(_meetings(contents, least), "meetings"))
+    # Only contents that share a shard with another are read again, and checked on whole shingle sets.
     candidates = tried.withColumnRenamed("root", "cluster")
     bodies = known.select(known[id_col].cast("long").alias("node"), known[text_col].alias("text")).join(candidates, "node")
     out = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("body", pa.binary())])

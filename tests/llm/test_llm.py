@@ -368,6 +368,19 @@ def test_near_duplicates_against_brute_force(docs, rows, none, blocks):
     assert simhash.without_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_whatever_their_fingerprints(spark):
+    rng = random.Random(6)
+    pairs = []
+    for n in [9] * 200 + [29] * 50:
+        w = [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+        pairs.append((" ".join(w[:-1]) if n == 9 else " ".join([*w[:-5]]), " ".join(w)))  # 4 of 5 shingles, 20 of 25
+    far = [(simhash.fingerprint(simhash.shingle_hashes(a, 5)) ^ simhash.fingerprint(simhash.shingle_hashes(b, 5))).bit_count() > 16 for a, b in pairs]
+    assert sum(far) > 5
+    rows_ = [(2 * k + m, t) for k, p in enumerate(pairs) for m, t in enumerate(p)]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_groups(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(len(pairs))}
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(n, n + 1) for n in range(400, 470)] + [(500, n) for n in range(501, 600)]
