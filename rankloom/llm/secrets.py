@@ -40,8 +40,9 @@ NAME_SCORES = {
 }
 THRESHOLD = 1.2
 MIN_LITERAL = 8
+#: A name is whole, however long: without quotes it is looked for only where a run of its characters begins, so one pass does.
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})(?P=q)[ \t]*(?::=|=>|=|:)[ \t]*"""
+    r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.\-])[0-9.\-]*)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?(q)(?P=q))[ \t]*(?::=|=>|=|:)[ \t]*"""
     r"""(?:(?P<lq>["'`])(?P<lit>[^"'`\n]*)(?P=lq)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""",
     re.A,
 )

@@ -101,6 +101,13 @@ def test_lexer_propagates_constants():
     assert spans == ["s3cr3tV4lue99", "correct-Horse-7battery"]
 
 
+def test_lexer_takes_whole_names():
+    long = "db_passphrase_" + "of_the_primary_replica." * 8 + "value"
+    text = f'{long} = "Xk29fPq7Lm31vRt8"\n--{long}=Xk29fPq7Lm31vRt9\n9{long}: Xk29fPq7Lm31vRt7\n'
+    assert [text[s:e] for _, s, e in secrets.lexed_spans(text)] == ["Xk29fPq7Lm31vRt8", "Xk29fPq7Lm31vRt9", "Xk29fPq7Lm31vRt7"]
+    assert secrets.lexed_pairs("= " + "a.-9" * 500_000 + "-" * 500_000) == []
+
+
 def test_redact(docs, none):
     got = {r.doc_id: r for r in secrets.redact(docs).collect() if r.text and "[SECRET]" in r.text}
     assert len(got) == 4
