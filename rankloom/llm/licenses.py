@@ -2,7 +2,8 @@
 
 Each line that mentions a licence is a segment (a long line gives windows of words around each mention);
 its sparse TF-IDF vector is compared with those of the templates. The best one at or above the threshold
-is the file's own licence. Files that are licence files, by name or because at least a quarter of their words
+is the file's own licence. Paragraphs, as headers are wrapped over lines, are compared with common headers and
+grants alike. A template counts only if its version is among the words. Files that are licence files, by name or because at least a quarter of their words
 are a licence statement, set their directory's licence. A file without a licence of its own inherits that of its
 nearest ancestor directory that has one: distinct directories are joined with their ancestors, then
 files with their directory, so files aren't multiplied.
@@ -49,7 +50,23 @@ TEMPLATES = {
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
 }
+#: Headers and grants as they stand in files, wrapped over lines; compared with whole paragraphs.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+HEADERS = {
+    "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',),
+    "GPL-2.0": (_GNU.format("General Public License", 2),),
+    "GPL-3.0": (_GNU.format("General Public License", 3),),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-3.0": (_GNU.format("Lesser General Public License", 3),),
+    "MIT": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+}
+#: Words of a paragraph that is compared with the headers; they have 30 to 70 themselves.
+HEADER_WORDS = (15, 400)
+_BLANK = re.compile(r"\n[\s#*/;%!\-]*\n")
+_VERSION = re.compile(r"-(\d+)(?:\.\d+|-)")
 _MENTION = re.compile(r"(?i)licen[cs]e|spdx|public domain|copyright")
+_GRANT = re.compile(r"(?i)licen[cs]e|permission")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -67,6 +84,8 @@ class Templates:
         self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
         self.rare = math.log(1 + n) + 1
         self.names = [name for name, _ in lists]
+        versions = {name: _VERSION.search(name) for name in self.names if name != "CC0-1.0"}  # it has one version only
+        self.versions = {name: re.compile(rf"[a-z]*{m[1]}(?:\.0)?") for name, m in versions.items() if m}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, ws) in enumerate(lists):
             vector = {w: c * self.idf[w] for w, c in Counter(ws).items()}
@@ -75,13 +94,15 @@ class Templates:
                 self.postings.setdefault(w, []).append((k, v / norm))
 
     def best(self, ws: list[str]) -> tuple[float, str | None]:
-        """(cosine, name) of the template nearest to some words."""
+        """(cosine, name) of the template nearest to some words, of those whose version is among the words."""
         vector = {w: c * self.idf.get(w, self.rare) for w, c in Counter(ws).items()}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         dots: dict[int, float] = {}
         for w, v in vector.items():
             for k, t in self.postings.get(w, ()):
                 dots[k] = dots.get(k, 0.0) + v * t
+        agree = {n: any(map(v.fullmatch, vector)) for n, v in self.versions.items()} if dots else {}
+        dots = {k: d for k, d in dots.items() if agree.get(self.names[k], True)}
         if not dots:
             return 0.0, None
         k = min(dots, key=lambda k: (-round(dots[k] / norm, 9), k))
@@ -104,11 +125,23 @@ def segments(text: str) -> Iterator[list[str]]:
             yield words(line[: m.start()][-12 * WINDOW :])[-WINDOW // 2 :] + words(line[m.start() :][: 12 * WINDOW])[: WINDOW // 2]
 
 
-def own_license(text: str, templates: Templates, threshold: float = THRESHOLD) -> tuple[str | None, float, float]:
+def paragraphs(text: str) -> Iterator[list[str]]:
+    """The words of each paragraph (lines between blank ones, comment signs aside) that could hold a header."""
+    if not _GRANT.search(text):
+        return
+    for part in _BLANK.split("\n".join(text.splitlines())):
+        if _GRANT.search(part) and HEADER_WORDS[0] <= len(ws := words(part)) <= HEADER_WORDS[1]:
+            yield ws
+
+
+def own_license(text: str, templates: Templates, threshold: float = THRESHOLD, headers: Templates | None = None) -> tuple[str | None, float, float]:
     """(licence, cosine, share of the text's words in its segment); (None, 0, 0) without one."""
     best, size = (0.0, None), 0
-    for ws in segments(text):
-        found = templates.best(ws)
+    parts = [(ws, templates) for ws in segments(text)]
+    if headers is not None:
+        parts += [(ws, headers) for ws in paragraphs(text)]
+    for ws, known in parts:
+        found = known.best(ws)
         if found[0] >= threshold and (found[0] > best[0] or found[0] == best[0] and found[1] < best[1]):
             best, size = found, len(ws)
     if best[1] is None:
@@ -127,9 +160,9 @@ def own(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     known = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Templates(known)
+        vectors, headers = Templates(known), Templates(HEADERS) if templates is None else None
         for b in batches:
-            found = [own_license(t, vectors, threshold) for t in texts(b.column(2))]
+            found = [own_license(t, vectors, threshold, headers) for t in texts(b.column(2))]
             yield batch(out, [b.column(0), b.column(1), *([f[k] for f in found] for k in range(3))])
 
     arrow_batches(files.sparkSession)

@@ -517,6 +517,20 @@ def test_own_license(text, want):
     assert licenses.own_license(text, licenses.Templates(licenses.TEMPLATES))[0] == want
 
 
+GPL_HEADER = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * int x; */"""
+MIT_GRANT = "Copyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, subject to the following conditions:\n\nTHE SOFTWARE IS PROVIDED AS IS"
+
+
+@pytest.mark.parametrize(("text", "want"), [(GPL_HEADER.format(2), "GPL-2.0"), (GPL_HEADER.format(3), "GPL-3.0"), (MIT_GRANT, "MIT"), ("GNU GENERAL PUBLIC LICENSE\n\nVersion", None), ("GNU GENERAL PUBLIC LICENSE, version 2", "GPL-2.0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0")])
+def test_wrapped_headers_and_versions(text, want):
+    assert licenses.own_license(text, licenses.Templates(licenses.TEMPLATES), headers=licenses.Templates(licenses.HEADERS))[0] == want
+
+
 def test_license_inheritance(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     files = [(1, "LICENSE", mit), (2, "a/b/c.py", "code"), (3, "a/COPYING.txt", apache), (4, "top.py", None), (5, "a/x.py", "# " + mit + "\n" + "code " * 50), (6, "a/b/d/e/f.py", ""), (7, None, mit), (8, "z/q.py", "code"), (8, "z/q.py", "code")]
