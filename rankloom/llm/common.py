@@ -1,17 +1,28 @@
-"""What the operators share: tables, scratch tables in the shared folder, Arrow helpers."""
+"""What the operators share: tables, scratch tables in the shared folder, Arrow helpers.
+
+Python workers get Arrow batches that Spark bounds in bytes (BATCH_BYTES, one value for all operators, set only
+where the session still has Spark's default, so that it doesn't matter when a lazy plan runs). Within a batch an
+operator turns only a slice of rows at a time into Python objects: see slices().
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_SCRATCH: list[str] = []  # paths of new_path(), until they are removed
 
-#: Rows of one Arrow batch sent to a Python worker; whole texts are long, so fewer than Spark's 10,000.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch that goes to a Python worker, and of a slice that becomes Python objects. A row may exceed either.
+BATCH_BYTES, SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 20, 1024
+_BATCH_CONF, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="rankloom-shared-")
@@ -30,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/rankloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -38,27 +53,85 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table made by saved() that nothing reads any longer."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for d in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/rankloom/" in d:
-            path = jvm.org.apache.hadoop.fs.Path(d)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files behind tables that saved() returned and that nothing reads any longer."""
+    for df in tables:
+        removed(df.sparkSession, df.scratch_path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was saved within it, but for the tables that are put into the list it gives."""
+    before, kept = set(_SCRATCH), []
+    yield kept
+    for path in [p for p in _SCRATCH if p not in before and p not in {k.scratch_path for k in kept}]:
+        removed(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; frames that still read one can't be used after it."""
+    removed(spark, f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}")
+    _SCRATCH.clear()
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that go to Python workers, unless the session has its own bound."""
+    if spark.conf.get(_BATCH_CONF).lower().removesuffix("b") in ("64m", str(_SPARK_DEFAULT)):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    if pa.types.is_list(column.type):
+        sizes, each = pc.list_value_length(column), 8
+    elif pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        sizes, each = pc.binary_length(column), 1
+    else:
+        return np.full(len(column), 8, dtype=np.int64)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64) * each
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices (no copies) of at most `rows` rows and `size` bytes; a row over it is a slice of its own."""
+    for b in batches:
+        ends = np.cumsum(sum((_row_bytes(c) for c in b.columns), np.zeros(b.num_rows, dtype=np.int64)))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(int(np.searchsorted(ends, before + size, side="right")), at + 1), at + rows)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def sliced(column: pa.Array, f: Callable[[pa.Array], list], kind: pa.DataType) -> pa.Array:
+    """f of a column, a slice at a time."""
+    parts = [pa.array(f(b.column(0)), type=kind) for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["x"])]))]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that this session sends to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def values(column: pa.Array) -> list:
+    """A column of numbers, strings or bytes as Python objects (null: None); several times as fast as to_pylist()."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy().tolist()
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
 
 
 def texts(column: pa.Array) -> list[str]:
     """A text column as Python strings, null as empty."""
-    return [x or "" for x in column.to_pylist()]
+    return [x or "" for x in values(column)]
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
