@@ -11,9 +11,10 @@ sequence) goes to the next window. A task's last sequence is padded.
 Nothing is shuffled and no state is shared: a lost task is computed again from its own input alone,
 with the same result. sequence_id is the task's partition number times 2^32 plus a count.
 
-Defined cases: null or empty text has no ids but the end id; documents are packed in stored order and
-rows that repeat, or have a null doc_id, are packed as rows of their own; an empty table gives no rows;
-other columns are ignored.
+Defined cases: null or empty text has no ids but the end id; very long texts are encoded whole and cut into full
+sequences and a remainder; documents are packed in stored order and rows that repeat, or have a null doc_id, are packed
+as rows of their own; ties between pieces of a length go to the first; an empty table gives no rows; other columns are
+ignored, whatever their names. Ids have the width that the vocabulary asks for, 16 or 32 bits.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rankloom.llm.common import arrow_batches, batch, table, texts
-from rankloom.llm.tokens import encoder, vocabulary
+from rankloom.llm.common import arrow_batches, batch, slices, table, values
+from rankloom.llm.tokens import BLOCK_BYTES, encoder, id_type, vocabulary, with_end
 
 LENGTH = 2048
 END_ID = 1
@@ -133,12 +134,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _OUT = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
-def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row a piece (see the contract of op4); with_ids adds the piece's token ids as an array."""
+def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: str = "text") -> DataFrame:
+    """One row a piece (see the contract of op4); with_ids adds the piece's token ids as an array. added: see tokens.Encoder."""
     schema = pa.schema([*_OUT, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encode = Packer(length, window), encoder(vocab, "word").encode
+        packer, coder = Packer(length, window), encoder(vocab, "word", added)
+        kind = id_type(max(coder.size, end_id + 1))
         base = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -152,9 +154,8 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
             rows.clear()
             return b
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                ids = np.append(encode(text), np.int32(end_id)).astype(np.uint16 if end_id < 65536 else np.int32)
+        for b in slices(batches, BLOCK_BYTES):
+            for doc, ids in zip(values(b.column(0)), with_end(*coder.encode_many(b.column(1)), end_id, kind), strict=True):
                 emit(packer.add((doc, ids), len(ids)))
                 if len(rows) >= 1024:
                     yield out()
@@ -167,4 +168,4 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
 
 
 def op4_cost_balanced_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), added="ids")

@@ -11,8 +11,10 @@ ascending doc_id order (part, k, first, n_docs, n_tokens, blob), written by Spar
 store that Spark writes to. first counts the part's ids before a shard, so that a reader needs only the sums
 of parts, of which there are as many as write tasks.
 
-Defined cases: null or empty text has the end id alone; a null doc_id sorts first; repeated doc_ids stay
-rows of their own, next to each other, by text; an empty table gives empty files.
+Defined cases: null or empty text has the end id alone; very long texts are encoded whole (a shard ends with the
+document that fills it); a null doc_id sorts first; repeated doc_ids stay rows of their own, next to each other, in order
+of a hash of their ids; ties in frequency go to the smaller id; an empty table gives empty files; other columns are
+ignored, whatever their names. Ids have the width that the vocabulary asks for, 16 or 32 bits.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, new_path, saved, table, texts
-from rankloom.llm.tokens import encoder, vocabulary
+from rankloom.llm.common import arrow_batches, batch, dropped, new_path, saved, slices, table, values
+from rankloom.llm.tokens import BLOCK_BYTES, encoder, id_type, vocabulary
 
 END_ID = 0
 MAGIC = b"RVB1"
@@ -39,7 +42,6 @@ _NULL = -(1 << 63)  # stands for a null doc_id
 
 #: For each control byte: the byte counts of its four values.
 SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
-_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -50,19 +52,29 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     quads[: len(v)] = extra
     q = quads.reshape(-1, 4)
     control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    stops = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(v) + 1)
+    starts = stops - extra - 1
+    data = np.empty(int(stops[-1]) if len(v) else 0, dtype=np.uint8)
+    data[starts] = v.astype(np.uint8)
+    longer = np.flatnonzero(extra)
+    for k in range(1, 4):
+        data[starts[longer] + k] = (v[longer] >> np.uint32(8 * k)).astype(np.uint8)
+        longer = longer[extra[longer] > k]
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of encode_values(), by table lookup."""
-    sizes = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    words = np.zeros(n, dtype=np.uint32)
-    for k in range(4):
-        words |= padded[starts + k].astype(np.uint32) << np.uint32(8 * k)
-    return words & _MASKS[sizes - 1]
+    sizes = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    found = np.frombuffer(data, np.uint8)
+    words = found[starts].astype(np.uint32)
+    longer = np.flatnonzero(sizes > 1)
+    for k in range(1, 4):
+        words[longer] |= found[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        longer = longer[sizes[longer] > k + 1]
+    return words
 
 
 def write_shard(doc_ids: list[int], sizes: list[int], ranks: np.ndarray) -> bytes:
@@ -84,38 +96,53 @@ def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, sizes.astype(np.int64), decode_values(blob[at:split], blob[split : split + n_data], n)
 
 
-def tokenized(df: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids as little-endian 16-bit bytes (the vocabulary is smaller), the end id last."""
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def tokenized(df: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added: str = "text") -> DataFrame:
+    """(doc_id, width, ids): the ids as little-endian numbers of `width` bytes, the end id last. added: see tokens.Encoder."""
+    out = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab, "byte").encode
-        for b in batches:
-            yield batch(out, [b.column(0), [np.append(encode(t), end_id).astype("<u2").tobytes() for t in texts(b.column(1))]])
+        coder = encoder(vocab, "byte", added)
+        kind = id_type(max(coder.size, end_id + 1))
+        for b in slices(batches, BLOCK_BYTES):
+            ids, ends = coder.encode_many(b.column(1))
+            whole = np.insert(ids.astype(kind), ends, end_id)
+            stops = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * kind.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
+            yield batch(out, [b.column(0), np.full(len(ends), kind.itemsize, dtype=np.int32), blobs])
 
     arrow_batches(df.sparkSession)
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, width int, ids binary")
+
+
+def _flat(b: pa.RecordBatch) -> np.ndarray:
+    """The ids of all rows of a batch of (width, ids)."""
+    column = b.column(1)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(f"<u{b.column(0)[0].as_py()}")
 
 
 def rank_table(ids: DataFrame) -> np.ndarray:
     """Ids by falling count over all documents (ties: the smaller id); as long as the vocabulary at most."""
-    out = pa.schema([("id", pa.int32()), ("n", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, dtype=np.int64)
+        counts = np.zeros(0, dtype=np.int64)
         for b in batches:
-            counts += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            if b.num_rows:
+                found = np.bincount(_flat(b), minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
         at = np.flatnonzero(counts)
-        yield batch(out, [at.astype(np.int32), counts[at]])
+        yield batch(out, [at, counts[at]])
 
-    rows = ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r.id for r in sorted(rows, key=lambda r: (-r.n, r.id))], dtype=np.uint32)
 
 
-def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int) -> None:
-    """Write shards of (doc_id, ids) rows to path, in ascending doc_id order: (part, k) is their order."""
+def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int | None = None) -> None:
+    """Write shards of (doc_id, width, ids) rows to path, in ascending doc_id order: (part, k) is their order."""
     spark = ids.sparkSession
-    place = np.zeros(1 << 16, dtype=np.uint32)
+    place = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, dtype=np.uint32)
     place[ranks] = np.arange(len(ranks), dtype=np.uint32)
     known = spark.sparkContext.broadcast(place)  # at most one number an id of the vocabulary
     out = pa.schema([*((c, pa.int64()) for c in ("part", "k", "first", "n_docs", "n_tokens")), ("blob", pa.binary())])
@@ -124,21 +151,24 @@ def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int) -
         part, k, first, docs, parts, tokens = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            ranks_ = known.value[np.concatenate([np.frombuffer(p, "<u2") for p in parts])]
-            return batch(out, [[part], [k], [first], [len(docs)], [tokens], [write_shard(docs, [len(p) // 2 for p in parts], ranks_)]])
+            return batch(out, [[part], [k], [first], [len(docs)], [tokens], [write_shard(docs, [len(p) for p in parts], np.concatenate(parts))]])
 
-        for b in batches:
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in slices(batches):
+            ranked = known.value[_flat(b.select(["width", "ids"]))]
+            stops = (np.cumsum(pc.binary_length(b.column(2)).to_numpy()) // b.column(1)[0].as_py()).tolist()
+            for doc, start, stop in zip(values(b.column(0)), [0, *stops], stops, strict=False):
                 docs.append(_NULL if doc is None else doc)
-                parts.append(x)
-                tokens += len(x) // 2
+                parts.append(ranked[start:stop])
+                tokens += stop - start
                 if tokens >= SHARD_TOKENS:
                     yield shard()
                     k, first, docs, parts, tokens = k + 1, first + tokens, [], [], 0
         if docs:
             yield shard()
 
-    dealt = ids.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", "tie", "ids"]
+    tied = ids.select("doc_id", "width", "ids", F.xxhash64("ids").alias("tie"))
+    dealt = tied.repartitionByRange(*([partitions] if partitions else []), "doc_id", "tie").sortWithinPartitions(*order).drop("tie")
     dealt.mapInArrow(run, _SHARDS).write.option("compression", "none").parquet(path)
 
 
@@ -155,21 +185,22 @@ def read_files(spark, path: str, ranks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank, before = known.value
-        for b in batches:
-            for part, first, blob in zip(*(b.column(c).to_pylist() for c in (0, 2, 5)), strict=True):
-                docs, sizes, values = read_shard(blob)
-                ids = by_rank[values].astype("<u4")
+        for b in slices(batches, rows=1):
+            for part, first, blob in zip(*(values(b.column(c)) for c in (0, 2, 5)), strict=True):
+                docs, sizes, coded = read_shard(blob)
+                ids = by_rank[coded].astype("<u4")
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield batch(out, [[None if d == _NULL else d for d in docs.tolist()], before[part] + first + ends - sizes, sizes, crcs])
 
-    arrow_batches(spark, 16)
+    arrow_batches(spark)
     return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark, sf_dir):
-    ids = saved(tokenized(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "ids")
+    ids = saved(tokenized(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), added="ids"), "ids")
     ranks = rank_table(ids)
     path = new_path(spark, "token-shards")
-    write_files(ids, ranks, path, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    write_files(ids, ranks, path)
+    dropped(ids)
     return read_files(spark, path, ranks)
