@@ -1,25 +1,29 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick (operator 10).
 
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs that stand for
-letters to those letters. The lexicon holds word beginnings with weights. Weights are learned: on a
-bounded sample of labelled rows (LEARN_ROWS, chosen by hash) the log odds of each word beginning
-is estimated, beginnings that predict the label are kept (of those that the same texts share, the longest),
-and beginnings that clean texts use are left out. A seed list gives well-known words a prior weight. One automaton over
-" beginning" strings matches all of them in one pass, so only word beginnings count; matches inside
-an exception phrase are dropped. The sum of matched weights is normalised by length and squashed:
-score = 1 - exp(-RATE * hits_weight / (1 + words / LENGTH)), so one strong hit in a text of some
-thousand words still scores over one half.
-
-Defined cases: null or empty text scores 0; ties in choice of lexicon go to the alphabetically first;
-with no labelled rows the seed list alone is used; repeated rows score alike; other columns pass
-through.
+letters to those letters. The lexicon holds word beginnings with weights. Weights are learned on a
+bounded sample of labelled rows (LEARN_ROWS, chosen by hash of doc_id; their texts are read whole, on executors, and
+only counts of beginnings come to the driver). A beginning enters if it is found in MIN_DOCS toxic families of texts at
+least (copies are one family), and significantly more often than chance (EVIDENCE, a log-likelihood ratio). Its weight is
+the log odds at the lower end of the confidence interval of its toxic share, so that rare or less pure ones need company
+to reach a verdict. A seed list gives well-known words a prior weight, unless the labels show harmless use. One automaton
+over " beginning" strings matches all of them in one pass, so only word beginnings count, each word by its
+heaviest; matches inside an exception phrase are dropped. The weights of distinct words are summed, a repeated word adding
+less each time (a harmonic share), normalised by length, and squashed:
+score = 1 - exp(-weight / (1 + log10(1 + words / LENGTH))), so length damps a score slowly and never outweighs a clear hit.
+
+Defined cases: null or empty text scores 0; very long texts are read whole, a slice of rows (or one long row) at a time; ties in
+choice of lexicon go to the alphabetically first; with no labelled rows the seed list alone is used; repeated rows score
+alike, and rows that share a doc_id with a label all carry it; an empty table gives no rows; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import math
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,19 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, table, texts
+from rankloom.llm.common import arrow_batches, batch, dropped, saved, sliced, slices, table, texts, values
 
-#: Labelled rows used for learning, at most; taken by hash of doc_id, the smallest first.
+#: Labelled rows used for learning, at most; taken by hash of doc_id, the smallest first. Their texts are read whole.
 LEARN_ROWS = 12_000
 HELD_OUT_MOD = 5
-#: Characters of a learned text, so that the sample is bounded in bytes as well. Scoring reads whole texts.
-LEARN_CHARS = 10_000
 SEED_LEXICON = (
     "idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown",
     "imbecile", "dumbass", "bastard", "retard", "cretin", "vermin", "filth", "degenerate",
 )
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clownfish", "class clown", "village idiot", "loser bracket", "idiot proof", "trash folder")
-SEED_WEIGHT, RATE, LENGTH, MIN_DOCS, PURITY = 3.0, 1.0, 4000.0, 8, 0.97
+SEED_WEIGHT, MAX_WEIGHT, LENGTH = 3.0, 3.0, 500.0
+#: Toxic families a beginning needs, the log-likelihood ratio it needs (chance reaches 26 once in 3 million tries), and its interval (deviations).
+MIN_DOCS, EVIDENCE, INTERVAL = 6, 26.0, 1.64
 MIN_STEM, MAX_STEM = 3, 12
 
 # Look-alikes of Latin letters, and digits or signs that stand for letters.
@@ -82,53 +86,57 @@ def _family(words: set[str], label: int) -> tuple:
     return (label, *rare) if len(rare) == 3 else (label, *sorted(words))
 
 
-def _stems(words: list[str], k: int, within: set[str] | None) -> set[str]:
-    """Beginnings of k letters of the words that start with one of `within`."""
-    known = words if within is None else [w for w in words if w[: k - 1] in within]
-    return {w[:k] for w in known if len(w) >= k}
+def beginnings(words: set[str], within: set[str] | None = None) -> list[str]:
+    """The distinct beginnings of MIN_STEM to MAX_STEM letters of words; of `within` only, if given."""
+    found = {w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}
+    return sorted(found if within is None else found & within)
 
 
-def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Weights of word beginnings from (text, toxic) rows; stems are dropped if a shorter one says the same.
+def weight_of(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """A beginning's weight from the families that have it; 0 if it says too little."""
+    n, base = toxic + clean, n_toxic / (n_toxic + n_clean)
+    share = toxic / n if n else 0.0
+    if toxic < MIN_DOCS or share <= base:
+        return 0.0
+    ratio = 2 * (toxic * math.log(share / base) + (clean * math.log((1 - share) / (1 - base)) if clean else 0.0))
+    z = INTERVAL * INTERVAL
+    low = (share + z / (2 * n) - INTERVAL * math.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+    return min(MAX_WEIGHT, math.log(low / (1 - low))) if ratio >= EVIDENCE and low > 0.5 else 0.0
 
-    Beginnings are counted level by level: one can be frequent only if the next shorter one is, so few are held.
-    """
-    seen, toxic, clean = set(), [], []
-    for text, label in rows:
-        words = {sys.intern(w) for w in fold(text[:LEARN_CHARS]).split()}
-        if (family := _family(words, label)) not in seen:
-            seen.add(family)
-            (toxic if label else clean).append([w for w in words if len(w) >= MIN_STEM])
+
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """The lexicon, from numbers of families by beginning; a beginning that says no more than a shorter one of it is left out."""
     lexicon = {w: SEED_WEIGHT for w in SEED_LEXICON}
-    if not toxic or not clean:
+    if not n_toxic or not n_clean:
         return lexicon
-    # The evidence has to come from many texts; families count once, as copies repeat all their words together.
-    floor = max(MIN_DOCS, 0.02 * len(toxic))
-    counts: dict[str, int] = {}
-    within = None
-    for k in range(MIN_STEM, MAX_STEM + 1):
-        level = Counter()
-        for words in toxic:
-            level.update(_stems(words, k, within))
-        frequent = {s: n for s, n in level.items() if n >= floor}
-        counts |= frequent
-        within = set(frequent)
-    harmless = Counter()
-    wanted = counts.keys() | set(lexicon)
-    for words in clean:
-        harmless.update({w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1) if w[:k] in wanted})
-    for s in sorted(counts, key=lambda s: (len(s), s)):
-        odds = math.log((counts[s] + 0.5) / (len(toxic) + 1)) - math.log((harmless[s] + 0.5) / (len(clean) + 1))
-        if counts[s] >= PURITY * (counts[s] + harmless[s]) and odds > 1.5 and not any(s[:k] in lexicon for k in range(MIN_STEM, len(s))):
-            # The longest stem that nearly all of its texts share says the same and matches fewer other words.
-            while longer := [t for t in counts if len(t) == len(s) + 1 and t.startswith(s) and counts[t] >= 0.95 * counts[s]]:
-                s = min(longer)
-            lexicon[s] = min(SEED_WEIGHT, odds)
-    for s in [s for s in SEED_LEXICON if harmless[s] >= MIN_DOCS and harmless[s] > 0.2 * (counts.get(s, 0) + harmless[s])]:
+    for s in [s for s in SEED_LEXICON if clean.get(s, 0) >= MIN_DOCS and clean[s] > 0.2 * (toxic.get(s, 0) + clean[s])]:
         del lexicon[s]  # seeds that this corpus uses harmlessly
+    weights = {s: weight_of(n, clean.get(s, 0), n_toxic, n_clean) for s, n in toxic.items()}
+    after: dict[str, list[str]] = {}
+    for s in toxic:
+        after.setdefault(s[:-1], []).append(s)
+    for s in sorted((s for s, w in weights.items() if w), key=lambda s: (len(s), s)):
+        shorter = max((lexicon.get(s[:k], 0.0) for k in range(MIN_STEM, len(s))), default=0.0)
+        # The longest one that nearly all of its texts share says the same and matches fewer other words.
+        while longer := [t for t in after.get(s, ()) if toxic[t] >= 0.95 * toxic[s]]:
+            s = min(longer)
+        if weights.get(s, 0.0) > shorter and s not in lexicon:
+            lexicon[s] = weights[s]
     return lexicon
 
 
+def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
+    """The lexicon of a few (text, toxic) rows that are at hand; learned() does the same on executors."""
+    seen, counts, families = set(), (Counter(), Counter()), [0, 0]
+    for text, label in rows:
+        words = set(fold(text).split())
+        if (family := _family(words, label)) not in seen:
+            seen.add(family)
+            families[label] += 1
+            counts[label].update(beginnings(words))
+    return choose(counts[1], counts[0], families[1], families[0])
+
+
 def automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for s, w in lexicon.items():
@@ -144,17 +152,24 @@ def score_text(text: str, a: ahocorasick.Automaton) -> tuple[float, int]:
     if not text:
         return 0.0, 0
     folded = fold(text)
-    best: dict[int, float] = {}
-    excused = []
+    best: dict[int, tuple[float, int]] = {}
+    excused, ends = [], []
     for end, (w, n) in a.iter(folded):
         if w:
-            best[end - n] = max(w, best.get(end - n, 0.0))
-        else:
-            excused.append((end - n, end))
-    hits = [w for at, w in best.items() if not any(s <= at < e - 1 for s, e in excused)]
-    if not hits:
+            best[end - n] = max((w, end), best.get(end - n, (0.0, 0)))
+        elif not ends or end > ends[-1]:  # matches come by their end
+            excused.append(end - n)
+            ends.append(end)
+    times: Counter = Counter()
+    total = 0.0
+    for at, (w, end) in best.items():
+        k = bisect.bisect_right(ends, at + 1)
+        if not (k < len(ends) and excused[k] <= at < ends[k] - 1):
+            times[folded[at:end + 1]] += 1
+            total += w / times[folded[at:end + 1]]
+    if not times:
         return 0.0, 0
-    return 1.0 - math.exp(-RATE * sum(hits) / (1.0 + folded.count(" ") / LENGTH)), len(hits)
+    return 1.0 - math.exp(-total / (1.0 + math.log10(1.0 + folded.count(" ") / LENGTH))), sum(times.values())
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> DataFrame:
@@ -166,10 +181,36 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
+def _families(rows: DataFrame, within: set[str] | None) -> DataFrame:
+    """(family, stems) of labelled rows (text, label), a row a family."""
+    out = pa.schema([("family", pa.string()), ("stems", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words = [set(fold(t).split()) for t in texts(b.column(0))]
+            names = [hashlib.md5(repr(_family(w, y)).encode()).hexdigest() for w, y in zip(words, b.column(1).to_pylist(), strict=True)]
+            yield batch(out, [names, [beginnings(w, within) for w in words]])
+
+    arrow_batches(rows.sparkSession)
+    return rows.select("text", F.col("label").cast("int")).mapInArrow(run, "family string, stems array<string>").groupBy("family").agg(F.min("stems").alias("stems"))
+
+
+def _counts(families: DataFrame, least: int) -> tuple[dict[str, int], int]:
+    """(families by beginning, of those in `least` of them at least; number of families)."""
+    found = saved(families, "families")
+    counts = found.select(F.explode("stems").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    result = {r.s: r.n for r in counts.collect()}, found.count()
+    dropped(found)
+    return result
+
+
 def learned(documents: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """The lexicon of a sample of labelled rows, by counts on executors: of toxic families first, then of the same beginnings in clean ones."""
     sample = labelled_sample(documents, labels, "toxic", HELD_OUT_MOD, 0, LEARN_ROWS)
-    rows = sample.select(F.substring("text", 1, LEARN_CHARS), "label").collect()
-    return learn_lexicon([(t or "", y) for t, y in rows])
+    toxic, n_toxic = _counts(_families(sample.where("label = 1"), None), MIN_DOCS)
+    # What is in many toxic texts: bounded by the beginnings of a language's usual words.
+    clean, n_clean = _counts(_families(sample.where("label = 0"), toxic.keys() | set(SEED_LEXICON)), 1)
+    return choose(toxic, clean, n_toxic, n_clean)
 
 
 def _scorer(lexicon: dict[str, float]):
@@ -189,8 +230,8 @@ def score(df: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _scorer(lexicon)
-        for b in batches:
-            ids = b.column(0).to_pylist()
+        for b in slices(batches):
+            ids = values(b.column(0))
             found = [one(t) for t in texts(b.column(1))]
             held = [i is not None and zlib.crc32(str(i).encode()) % HELD_OUT_MOD == 0 for i in ids]
             yield batch(out, [b.column(0), held, [s for s, _ in found], [int(s >= 0.5) for s, _ in found], [n for _, n in found]])
@@ -200,16 +241,14 @@ def score(df: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text
 
 
 def without_toxic(df: DataFrame, lexicon: dict[str, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of df whose text scores under the threshold, all columns kept."""
-    at = df.columns.index(text_col)
+    """The rows of df whose text scores under the threshold, all columns kept; only texts go to Python, and a verdict comes back."""
+    held = _scorer(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _scorer(lexicon)
-        for b in batches:
-            yield b.filter(pa.array([one(t)[0] < threshold for t in texts(b.column(at))], type=pa.bool_()))
+    def mild(column: pa.Array) -> pa.Array:
+        return sliced(column, lambda part: [held(t)[0] < threshold for t in texts(part)], pa.bool_())
 
     arrow_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.where(F.arrow_udf(mild, "boolean")(df[text_col]))
 
 
 def op10_toxicity(spark, sf_dir):
