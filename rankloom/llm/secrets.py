@@ -24,8 +24,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, texts
+from rankloom.llm.common import arrow_batches, batch, sliced, slices, texts, values
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -130,7 +131,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in texts(b.column(1)):
                 base, spans = all_spans(text)
@@ -143,23 +144,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """df with secrets in text_col replaced, and length_col (where there is one) brought up to date."""
-    at = df.columns.index(text_col)
-    size = df.columns.index(length_col) if length_col in df.columns else None
+    """df with secrets in text_col replaced, and length_col (where there is one) brought up to date; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            old = b.column(at).to_pylist()
-            new = [t if t is None else redact_text(t, all_spans(t)[1]) for t in old]
-            columns = list(b.columns)
-            columns[at] = pa.array(new, type=columns[at].type)
-            if size is not None:
-                lengths = [n if t is u or t == u else len(u) for t, u, n in zip(old, new, columns[size].to_pylist(), strict=True)]
-                columns[size] = pa.array(lengths, type=columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+    def clean(column: pa.Array) -> pa.Array:
+        return sliced(column, lambda part: [t if t is None else redact_text(t, all_spans(t)[1]) for t in values(part)], pa.string())
 
     arrow_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    new = df.select("*", F.arrow_udf(clean, "string")(df[text_col]).alias("__clean"))
+    size = F.when(F.col("__clean") == F.col(text_col), F.col(length_col)).otherwise(F.length("__clean").cast(df.schema[length_col].dataType)) if length_col in df.columns else None
+    return new.select(*[F.col("__clean").alias(c) if c == text_col else F.coalesce(size, c).alias(c) if c == length_col else F.col(c) for c in df.columns])
 
 
 def op1_secret_scan(spark, sf_dir):
