@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, saved, table
+from rankloom.llm.common import arrow_batches, batch, saved, slices, table
 from rankloom.llm.graph import Forest, components
 
 THRESHOLD = 0.95
@@ -154,7 +154,7 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, centres = shared.value
-        for b in batches:
+        for b in slices(batches, rows=512):
             vectors = b.column("vector")
             sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
             usual = np.flatnonzero(sizes == dim)
@@ -169,7 +169,7 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
                 take = pa.array([n for *_, n in part], type=pa.int64())
                 yield batch(out, [[c for c, *_ in part], [v for _, v, _ in part], b.column("point").take(take), b.column("weight").take(take), vectors.take(take)])
 
-    arrow_batches(spark, 512)
+    arrow_batches(spark)
     placed = saved(distinct.select("point", "weight", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "cell long, visitor boolean, point long, weight long, vector array<double>"), "cells")
     # Blocks: members of a cell into nm, visitors into nv. Member blocks are visitors of later member blocks.
     sizes = placed.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("members"), F.count_if("visitor").alias("guests"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, saved, table, texts
+from rankloom.llm.common import arrow_batches, batch, saved, slices, table, texts
 
 THRESHOLD = 0.5
 WINDOW = 24
@@ -161,7 +161,7 @@ def own(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, headers = Templates(known), Templates(HEADERS) if templates is None else None
-        for b in batches:
+        for b in slices(batches):
             found = [own_license(t, vectors, threshold, headers) for t in texts(b.column(2))]
             yield batch(out, [b.column(0), b.column(1), *([f[k] for f in found] for k in range(3))])
 

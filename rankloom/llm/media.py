@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.common import arrow_batches, batch, saved, table, texts
+from rankloom.llm.common import arrow_batches, batch, saved, slices, table, texts, values
 
 WIDTH = 64
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -159,11 +159,11 @@ def decode_column(df: DataFrame, id_col: str, media_col: str, side: int = 256) -
             yield (key, *shape, i, j, tile, difference_hash(pixels), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [r for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows(k, d)]
+        for b in slices(batches):
+            found = [r for k, d in zip(values(b.column(0)), values(b.column(1)), strict=True) for r in rows(k, d)]
             yield batch(out, list(zip(*found, strict=True)) if found else [[]] * len(out))
 
-    arrow_batches(df.sparkSession, 256)
+    arrow_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("id"), df[media_col].alias("media")).mapInArrow(run, "id long, height int, width int, channels int, tile_row int, tile_col int, tile binary, dhash string, error string")
 
 
@@ -172,7 +172,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sizes, media = [], []
             for text in texts(b.column(1)):
                 raw = text.encode()
@@ -190,9 +190,9 @@ def read_back(stored: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for media in b.column(2).to_pylist():
+            for media in values(b.column(2)):
                 pixels = unpack(media)
                 payload = pixels.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels)))
