@@ -1,8 +1,10 @@
-"""Chunking along section structure, as windows and higher-order functions; no Python workers."""
+"""Chunking along section structure by higher-order functions within the row; no Python workers, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import slug, strip
@@ -16,29 +18,52 @@ def checked(max_chars: int, overlap: int) -> None:
         raise ValueError("chunking needs 0 <= overlap < max_chars")
 
 
-def header_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, section, body) for each header block that isn't empty.
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _level(line: Column) -> Column:
+    return F.when(F.startswith(line, F.lit("#")), F.length(F.regexp_extract(line, _HEADER, 1))).otherwise(0)
+
+
+def blocks(text: Column) -> Column:
+    """array<struct(block, section, body)> of a text's header blocks that aren't empty.
 
     A level-1 header is dropped and starts nothing. A level-2 header, or the first deeper one before any,
-    is a root; deeper ones are its children. A document's lines stay in one task, as in one document.
+    is a root; deeper ones are its children.
     """
-    lines = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    level = F.length(F.regexp_extract("line", _HEADER, 1))
-    lines = lines.withColumn("level", level).withColumn("title", strip(F.regexp_extract("line", _HEADER, 2)))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    deep = F.col("level") >= 2
-    lines = lines.withColumn("nth", F.sum(deep.cast("int")).over(upto))
-    root = (F.col("level") == 2) | (deep & (F.col("nth") == 1))
-    lines = lines.withColumn("root", F.last(F.when(root, F.col("title")), ignorenulls=True).over(upto))
-    inside = lines.groupBy("doc_id", F.col("nth").alias("block")).agg(
-        F.max("root").alias("root"),
-        F.max(F.when(deep & ~root, F.col("title"))).alias("child"),
-        F.max(F.when(deep, F.lit(True))).alias("named"),
-        F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))).alias("lines"),
-    )
-    section = F.when(F.col("named").isNull(), "Document").when(F.col("child").isNull(), F.col("root")).otherwise(F.concat_ws(" > ", "root", "child"))
-    body = strip(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    return inside.select("doc_id", "block", section.alias("section"), body.alias("body")).where("body <> ''")
+    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _level(x).alias("level")))
+    return let(marked, lambda lines: let(_begins(lines), lambda begins: let(_roots(begins), lambda roots: _cut(lines, begins, roots))))
+
+
+def _begins(lines: Column) -> Column:
+    """Where blocks begin: the text's beginning (0), and each deep header."""
+    title = lambda x: F.when(x["level"] >= 2, strip(F.regexp_extract(x["line"], _HEADER, 2)))
+    placed = F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), x["level"].alias("level"), title(x).alias("title")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit("").alias("title"))), F.filter(placed, lambda x: x["level"] >= 2))
+
+
+def _roots(begins: Column) -> Column:
+    """The number of each block's root: the last level-2 header up to it, the first header before there is one."""
+    own = lambda roots, x: (x["level"] == 2) | (F.size(roots) <= 1)
+    return F.aggregate(begins, F.array().cast("array<int>"), lambda roots, x: F.array_append(roots, F.when(own(roots, x), F.size(roots)).otherwise(F.element_at(roots, -1))))
+
+
+def _cut(lines: Column, begins: Column, roots: Column) -> Column:
+    def one(x: Column, n: Column) -> Column:
+        stop = F.when(n + 1 < F.size(begins), F.get(begins, n + 1)["at"] - 1).otherwise(F.size(lines))
+        inside = F.filter(F.slice(lines, x["at"] + 1, stop - x["at"]), lambda y: y["level"] == 0)
+        root = F.get(roots, n)
+        path = F.when(n == 0, F.lit("Document")).when(root == n, x["title"]).otherwise(F.concat_ws(" > ", F.get(begins, root)["title"], x["title"]))
+        return F.struct(n.alias("block"), path.alias("section"), strip(F.array_join(F.transform(inside, lambda y: y["line"]), "\n")).alias("body"))
+
+    return F.filter(F.transform(begins, one), lambda x: x["body"] != "")
+
+
+def header_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, block, section, body) for each header block of each row that isn't empty; see blocks(). Nothing is shuffled."""
+    return documents.select(F.col(id_col).alias("doc_id"), F.inline(blocks(F.col(text_col))))
 
 
 def hard_pieces(text: Column, max_chars: int, overlap: int) -> Column:
@@ -57,9 +82,8 @@ def pieces(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
         now, out = acc["now"], acc["out"]
         fits = F.length(now) + F.length(p) + 2 <= max_chars
         flushed = F.when(now == "", out).otherwise(F.array_append(out, now))
-        cut = hard_pieces(p, max_chars, overlap)
         return F.when(fits, F.struct(out.alias("out"), F.when(now == "", p).otherwise(strip(F.concat(now, F.lit("\n\n"), p))).alias("now"))).otherwise(
-            F.struct(F.concat(flushed, F.slice(cut, 1, F.size(cut) - 1)).alias("out"), F.element_at(cut, -1).alias("now"))
+            let(hard_pieces(p, max_chars, overlap), lambda cut: F.struct(F.concat(flushed, F.slice(cut, 1, F.size(cut) - 1)).alias("out"), F.element_at(cut, -1).alias("now")))
         )
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
@@ -68,10 +92,10 @@ def pieces(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
 
 
 def chunks(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, doc_id, chunk_ix, section, text); chunk_ix counts from 1 over a document."""
+    """(chunk_id, doc_id, chunk_ix, section, text); chunk_ix counts from 1 over a row. Nothing is shuffled."""
     checked(max_chars, overlap)
-    cut = header_blocks(documents, id_col, text_col).select("doc_id", "block", "section", F.posexplode(pieces(F.col("body"), max_chars, overlap)).alias("piece", "text"))
-    order = Window.partitionBy("doc_id").orderBy("block", "piece")
-    cut = cut.withColumn("chunk_ix", F.row_number().over(order).cast("long"))
+    cut = F.flatten(F.transform(blocks(F.col(text_col)), lambda x: F.transform(pieces(x["body"], max_chars, overlap), lambda piece: F.struct(x["section"].alias("section"), piece.alias("text")))))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("pos", "piece"))
+    rows = rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_ix"), "piece.section", "piece.text")
     chunk_id = F.concat_ws("-", F.col("doc_id").cast("string"), slug("section"), F.col("chunk_ix").cast("string"))
-    return cut.select(chunk_id.alias("chunk_id"), "doc_id", "chunk_ix", "section", "text")
+    return rows.select(chunk_id.alias("chunk_id"), "doc_id", "chunk_ix", "section", "text")

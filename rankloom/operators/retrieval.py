@@ -6,12 +6,15 @@ it, which resolves ties) and text. `where` conditions hold for results only, nev
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import cosine, tokens
+from rankloom.operators.vectors import best_cosines
 
 K, RRF_K, DEPTH = 5, 60, 4
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,26 +23,62 @@ STRATEGIES = ("bm25", "dense", "hybrid")
 DECIMALS = 6
 
 
+#: Rows that a side may have to be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 500_000
+#: Bytes of query vectors that may go to each task; beyond it dense scores are joined, not multiplied.
+QUERY_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     chunks: DataFrame  # scope, key, other columns
-    postings: DataFrame  # scope, key, term, tf
-    lengths: DataFrame  # scope, key, dl
+    rows: DataFrame  # scope, key, dl, terms (all words)
     terms: DataFrame  # scope, term, df, idf
     stats: DataFrame  # scope, n, avgdl
+    scopes: int  # how many there are, BROADCAST_ROWS + 1 for more
+
+    @property
+    def postings(self) -> DataFrame:
+        """scope, key, term, tf"""
+        return _frequencies(_words(self.rows).where("term IS NOT NULL")).drop("dl")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.rows.select("scope", "key", "dl")
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """A row a word. Outer, since Spark would split texts twice to drop rows without words before an inner explode."""
+    return rows.select("scope", "key", "dl", F.explode_outer("terms").alias("term"))
+
+
+def _frequencies(words: DataFrame) -> DataFrame:
+    return words.groupBy("scope", "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has few rows at most, as bounded by the caller; else df, which joins then shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def bm25_index(chunks: DataFrame, scope: str = "scope", key: str = "key", text: str = "text", epsilon: float = EPSILON) -> Bm25Index:
-    """Okapi statistics by scope. A term in over half of the chunks gets epsilon times the mean idf of all terms."""
+    """Okapi statistics by scope. A term in over half of the chunks gets epsilon times the mean idf of all terms.
+
+    Terms are counted once a chunk, combined on the map side; the same exchange gives the number and mean length of chunks,
+    which the empty term stands for. No posting is shuffled here.
+    """
     rows = chunks.select(F.col(scope).alias("scope"), F.col(key).alias("key"), tokens(text).alias("terms"))
-    lengths = rows.select("scope", "key", F.size("terms").alias("dl"))
-    stats = lengths.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.select("scope", "key", F.explode("terms").alias("term")).groupBy("scope", "key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(stats.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rows = rows.select("scope", "key", F.size("terms").alias("dl"), "terms")
+    scopes = rows.select("scope").distinct().limit(BROADCAST_ROWS + 1).count()  # reads no text
+    marked = rows.select("scope", "dl", F.explode_outer(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).where("term IS NOT NULL")
+    counts = marked.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dls"))
+    whole = F.col("dls").isNotNull()
+    stats = counts.groupBy("scope").agg(F.sum(F.when(whole, F.col("df"))).alias("n"), F.sum("dls").alias("dls"))
+    stats = stats.select("scope", "n", (F.col("dls") / F.col("n")).alias("avgdl"))
+    raw = counts.join(small(stats, scopes), "scope").withColumn("raw", F.when(~whole, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    terms = raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), postings, lengths, terms, stats)
+    terms = raw.where("raw IS NOT NULL").join(small(mean, scopes), "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), rows, terms, stats, scopes)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
@@ -50,12 +89,17 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", question: str =
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, scope, key, score); queries with a scope column are scored in that scope only."""
+    """(query_id, scope, key, score); queries with a scope column are scored in that scope only.
+
+    A chunk's words are cut down to the queries' before anything is shuffled; few query terms are broadcast with their statistics.
+    """
     q = query_terms(queries)
     on = ["scope", "term"] if "scope" in q.columns else ["term"]
-    # Statistics meet the few query terms first, so only postings of these terms are shuffled on.
-    wanted = index.terms.join(q, on).join(index.stats.select("scope", "avgdl"), "scope")
-    hits = index.postings.join(wanted, ["scope", "term"]).join(index.lengths, ["scope", "key"])
+    n = q.limit(BROADCAST_ROWS + 1).count()
+    most = n if "scope" in q.columns else n * max(index.scopes, 1)
+    asked = _words(index.rows).join(small(q.select(*on).distinct(), n), on, "left_semi")
+    wanted = index.terms.join(small(q, n), on).join(small(index.stats.select("scope", "avgdl"), index.scopes), "scope").drop("df")
+    hits = _frequencies(asked).join(small(wanted, most), ["scope", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "scope", "key").agg(F.round(F.sum(part), DECIMALS).alias("score"))
 
@@ -77,13 +121,28 @@ def search_bm25(index: Bm25Index, queries: DataFrame, k: int = K, where: Column
 def search_dense(chunks: DataFrame, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
     """Exact cosine ranking of chunks (scope, key, vector) for queries (query_id, vector[, scope]); nothing is dropped.
 
-    Queries are a stated, small set; each chunk is scored where it lies, and a local top k by window
-    group limit precedes the shuffle.
+    Queries are a stated, small set: up to QUERY_BYTES of them go to each task as one matrix of unit rows, which is multiplied
+    with batches of chunks where these lie; a task keeps its k best a query, so that only these are shuffled. More
+    queries are joined by scope (or all with all, which is the operator itself). A null vector, or one whose
+    length differs from a query's, counts as a zero vector.
     """
     kept = chunks if where is None else chunks.where(where)
-    q = queries.withColumnRenamed("vector", "q_vector")
-    pairs = kept.join(q, "scope") if "scope" in q.columns else kept.crossJoin(q)  # queries x chunks is the operator itself
-    return top(pairs.select("query_id", "scope", "key", F.round(cosine(F.col("vector"), F.col("q_vector")), DECIMALS).alias("score")), k)
+    scoped = "scope" in queries.columns
+    size = queries.agg(F.sum(F.coalesce(F.size("vector"), F.lit(0)) * 8 + 64)).first()[0] or 0
+    if size > QUERY_BYTES:
+        q = queries.withColumnRenamed("vector", "q_vector")
+        pairs = kept.join(q, "scope") if scoped else kept.crossJoin(q)
+        return top(pairs.select("query_id", "scope", "key", F.round(cosine(F.col("vector"), F.col("q_vector")), DECIMALS).alias("score")), k)
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *(["scope"] if scoped else [])).collect()  # QUERY_BYTES at most
+    shared = kept.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
+    kinds = {"query_id": queries.schema["query_id"].dataType, "scope": kept.schema["scope"].dataType, "key": kept.schema["key"].dataType}
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return best_cosines(batches, shared.value, scoped, k)
+
+    rows = kept.select("scope", "key", F.col("vector").cast("array<double>").alias("vector"))
+    return top(rows.mapInArrow(run, schema), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = K, rrf_k: int = RRF_K) -> DataFrame:
