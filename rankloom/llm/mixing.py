@@ -12,10 +12,13 @@ in two levels, since a leaf can hold a third of all rows: sums of tokens by leaf
 on the map side), a running sum over buckets, and a window only inside the one bucket that the budget cuts.
 It leaves one row a leaf - epochs and the last document's order - and the selection itself is a map.
 
-Defined cases: null text has no tokens; a null language or source is a leaf of its own, "none"; a null
-doc_id is ordered by its text's digest; rows that share a doc_id are rows of their own; ties are resolved by
-doc_id, then tokens; a leaf without tokens selects nothing; an empty table gives no rows; a
-language without a weight weighs DEFAULT_WEIGHT, and so do all domains and sources.
+Defined cases: null or empty text has no tokens, and is taken with its leaf's whole epochs, and in a cut one if it stands
+before the cut; a very long text that the cut goes through gives its prefix (mixed_documents() keeps it whole); a null
+language or source is a leaf of its own, "none"; a null doc_id is ordered by its text's digest; rows that share a doc_id are
+rows of their own; ties are resolved by doc_id, then tokens; of rows alike in all these as many are taken as the budget has
+tokens for, no matter which; a leaf without tokens selects nothing; an empty table gives no rows; other columns pass
+through mixed_documents(), whatever their names; a language without a weight weighs DEFAULT_WEIGHT, and so do all domains
+and sources.
 """
 
 from __future__ import annotations
@@ -100,20 +103,37 @@ def plan(light: DataFrame, budget: DataFrame, seed: int = SEED) -> DataFrame:
     cut = sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).where("before < rest AND rest <= before + n")
     inside = rows.join(cut.select(*LEAF, "bucket", "before"), [*LEAF, "bucket"])
     upto = Window.partitionBy(*LEAF, "bucket").orderBy("o", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("upto", F.col("before") + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).where("upto < rest")
-    ends = inside.groupBy(*LEAF).agg(F.max(F.struct("o", "doc_id", "n_tokens", "upto")).alias("last"))
-    return leaf.join(ends, LEAF, "left").select(*LEAF, "epochs", F.struct("last.o", "last.doc_id", "last.n_tokens").alias("last"), F.col("last.o").isNotNull().alias("cut"), (F.col("rest") - F.col("last.upto")).alias("last_take"))
+    inside = inside.withColumn("upto", F.col("before") + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)))
+    # Rows that share a doc_id and a length are alike here: how many of them there are, and how many are taken.
+    alike = inside.groupBy(*LEAF, "o", "doc_id", "n_tokens").agg(F.max(F.when(F.col("upto") < F.col("rest"), F.col("upto"))).alias("upto"), F.count_if(F.col("upto") < F.col("rest")).alias("taken"), F.count(F.lit(1)).alias("alike"))
+    ends = alike.where("taken > 0").groupBy(*LEAF).agg(F.max(F.struct("o", "doc_id", "n_tokens", "upto", "taken", "alike")).alias("last"))
+    return leaf.join(ends, LEAF, "left").select(*LEAF, "epochs", F.struct("last.o", "last.doc_id", "last.n_tokens").alias("last"), F.col("last.o").isNotNull().alias("cut"), (F.col("rest") - F.col("last.upto")).alias("last_take"), F.col("last.taken").alias("taken"), F.col("last.alike").alias("alike"))
+
+
+def _taken(rows: DataFrame, leaves: DataFrame, keys: dict[str, str], mine: Column) -> DataFrame:
+    """rows (joined with their leaf) with __more, whether the cut epoch takes them, and __end, whether it takes them in part.
+
+    keys: names of the leaf's columns in rows. Of alike rows at the cut only as many as the budget has are taken; they alone are numbered.
+    """
+    cut, last = F.col(keys["cut"]), F.col(keys["last"])
+    at_end = F.coalesce(cut & (mine == last), F.lit(False))
+    known = rows.withColumn("__more", F.coalesce(cut & (mine <= last), F.lit(False))).withColumn("__end", at_end)
+    if not leaves.where("alike > 1").limit(1).count():
+        return known
+    nth = F.row_number().over(Window.partitionBy(*[keys[c] for c in LEAF]).orderBy(F.lit(0)))
+    tied = known.where("__end").withColumn("__nth", nth)
+    tied = tied.withColumns({"__more": F.col("__nth") <= F.col(keys["taken"]), "__end": F.col("__nth") == F.col(keys["taken"])}).drop("__nth")
+    return known.where("NOT __end").unionByName(tied)
 
 
 def selected(light: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
     """light's rows once for each epoch that takes them: epoch, and take_tokens (less than n_tokens only at a prefix's end)."""
     rows = light.join(leaves, LEAF).withColumn("o", F.when(F.col("cut"), _order(seed, F.col("epochs"), F.col("name"))))
-    mine = F.struct("o", "doc_id", "n_tokens")
-    rows = rows.withColumn("more", F.coalesce(F.col("cut") & (mine <= F.col("last")), F.lit(False)))
-    copies = F.col("epochs") + F.col("more").cast("long")
+    rows = _taken(rows, leaves, {c: c for c in leaves.columns}, F.struct("o", "doc_id", "n_tokens"))
+    copies = F.col("epochs") + F.col("__more").cast("long")
     rows = rows.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    take = F.when(F.col("more") & (F.col("epoch") == F.col("epochs")) & (mine == F.col("last")), F.col("last_take")).otherwise(F.col("n_tokens"))
-    return rows.withColumn("take_tokens", take).drop("o", "more", "epochs", "last", "cut", "last_take")
+    take = F.when(F.col("__end") & (F.col("epoch") == F.col("epochs")), F.col("last_take")).otherwise(F.col("n_tokens"))
+    return rows.withColumn("take_tokens", take).drop("o", "__more", "__end", "epochs", "last", "cut", "last_take", "taken", "alike")
 
 
 def mix(df: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -127,16 +147,15 @@ def mixed_documents(df: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """df's rows that the mixture takes, once for each epoch, whole (a cut document stays whole), columns as they are."""
     light = saved(leaves_of(df), "leaves")
     leaves = saved(plan(light, saved(budgets(light, **options), "budgets"), seed), "leaf-plan")
-    keys = {c: f"__{c}" for c in (*LEAF, "epochs", "last", "cut", "last_take")}
-    leaves = leaves.withColumnsRenamed(keys)
+    keys = {c: f"__{c}" for c in leaves.columns}
     rows = df.withColumns({
         "__domain": domain_of(F.col("source")), "__lang": F.coalesce("lang", F.lit("none")), "__source": F.coalesce("source", F.lit("none")),
         "__name": F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))),
         "__n": tokens_of(F.col("text")),
-    }).join(leaves, [keys[c] for c in LEAF])
+    }).join(leaves.withColumnsRenamed(keys), [keys[c] for c in LEAF])
     mine = F.struct(_order(seed, F.col("__epochs"), F.col("__name")).alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__n").alias("n_tokens"))
-    more = F.coalesce(F.col("__cut") & (mine <= F.col("__last")), F.lit(False)).cast("long")
-    return rows.withColumn("__copies", F.col("__epochs") + more).where("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(c) for c in df.columns])
+    copies = F.col("__epochs") + F.col("__more").cast("long")
+    return _taken(rows, leaves, keys, mine).where(copies > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(c) for c in df.columns])
 
 
 def op7_mixture(spark, sf_dir):
