@@ -7,15 +7,19 @@ an error row instead of failing the job; retries and back-off follow `Retry`.
 from __future__ import annotations
 
 import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import text_hash
+from rankloom.operators.retrieval import cache_misses
 
 #: (system, user) -> content of the answer, and text -> vector.
 Chat = Callable[[str, str], str]
@@ -56,51 +60,89 @@ def http_chat(base_url: str, model: str, api_key: str, timeout_s: float = 60.0,
     """A transport for chat-completions endpoints, by the standard library."""
 
     def call(system: str, user: str) -> str:
-        import urllib.error
         import urllib.request
 
         body = {"model": model, "temperature": temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        request = urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+        found = _fetched(urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"}), timeout_s)
         try:
-            with urllib.request.urlopen(request, timeout=timeout_s) as answer:
-                return json.load(answer)["choices"][0]["message"]["content"]
-        except urllib.error.HTTPError as e:
-            raise (RateLimited if e.code == 429 or e.code >= 500 else ModelError)(f"status {e.code}") from e
-        except urllib.error.URLError as e:
-            raise ConnectionError(str(e)) from e
-        except (KeyError, IndexError, TypeError, ValueError) as e:
-            raise ModelError(f"unexpected response: {e}") from e
+            return found["choices"][0]["message"]["content"]
+        except (KeyError, IndexError, TypeError) as e:
+            raise ModelError(f"unexpected response: {e!r}") from e
 
     return call
 
 
+def _fetched(request, timeout_s: float):
+    """The JSON that an endpoint answers; its errors as ModelError, those worth another try as RateLimited or ConnectionError."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(request, timeout=timeout_s) as answer:
+            return json.load(answer)
+    except urllib.error.HTTPError as e:
+        raise (RateLimited if e.code == 429 or e.code >= 500 else ModelError)(f"status {e.code}") from e
+    except urllib.error.URLError as e:
+        raise ConnectionError(str(e)) from e
+    except ValueError as e:
+        raise ModelError(f"unexpected response: {e}") from e
+
+
 def http_embed(url: str, model: str, timeout_s: float = 30.0) -> Embed:
     """A transport for embedding endpoints that answer with `embeddings` or `embedding`."""
 
     def call(text: str) -> list:
         import urllib.request
 
-        request = urllib.request.Request(url, json.dumps({"model": model, "input": text}).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=timeout_s) as answer:
-            found = json.load(answer)
-        return found["embeddings"][0] if found.get("embeddings") else found["embedding"]
+        found = _fetched(urllib.request.Request(url, json.dumps({"model": model, "input": text}).encode(), {"Content-Type": "application/json"}), timeout_s)
+        try:
+            return found["embeddings"][0] if found.get("embeddings") else found["embedding"]
+        except (KeyError, IndexError, TypeError, AttributeError) as e:
+            raise ModelError(f"unexpected response: {e!r}") from e
 
     return call
 
 
+def list_models(base_url: str, api_key: str = "", timeout_s: float = 10.0) -> list[str]:
+    """Names of the models that an endpoint offers, in order."""
+    import urllib.request
+
+    found = _fetched(urllib.request.Request(f"{base_url.rstrip('/')}/models", headers={"Authorization": f"Bearer {api_key}"}), timeout_s)
+    return sorted(str(m["id"]) for m in found.get("data", ()) if "id" in m)
+
+
+def once_a_worker(load: Callable[[], Embed]) -> Embed:
+    """An embedder whose model is loaded by its first call in each Python worker, and kept there for later batches and tasks."""
+    return _Loaded(load)
+
+
+class _Loaded:
+    _kept: ClassVar[dict[str, Embed]] = {}
+
+    def __init__(self, load: Callable[[], Embed]) -> None:
+        self.load, self.name = load, uuid.uuid4().hex
+
+    def __call__(self, text: str) -> list:
+        if self.name not in _Loaded._kept:
+            _Loaded._kept[self.name] = self.load()
+        return _Loaded._kept[self.name](text)
+
+
+#: An answer in a code fence, with or without the fence's language.
+_FENCED = re.compile(r"\s*`{3,}\s*(?:json\b)?(?P<body>.*?)`*\s*", re.S | re.I)
+
+
 def parse_object(content: str | None) -> dict:
-    """The JSON object of an answer, with or without a code fence."""
-    text = (content or "").strip()
-    if text.startswith("```"):
-        text = text.strip("`")
-        text = (text[4:] if text[:4].lower() == "json" else text).strip()
+    """The JSON object that an answer is, as a whole or within one code fence."""
+    answer = content or ""
+    fenced = _FENCED.fullmatch(answer)
     try:
-        found = json.loads(text)
+        value = json.loads(fenced["body"] if fenced else answer)
     except ValueError as e:
-        raise BadAnswer(f"invalid JSON: {e}") from e
-    if not isinstance(found, dict):
-        raise BadAnswer("expected a JSON object")
-    return found
+        raise BadAnswer(f"no JSON: {e}") from e
+    if isinstance(value, dict):
+        return value
+    raise BadAnswer(f"a JSON {type(value).__name__} in place of an object")
 
 
 def prompt(spec: DataFrame) -> DataFrame:
@@ -116,13 +158,18 @@ def prompt(spec: DataFrame) -> DataFrame:
     return spec.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("fields"))
 
 
-def extract(documents: DataFrame, spec: DataFrame, chat: Chat, model: str, system: str = "Extract the fields as one JSON object.", retry: Retry = Retry()) -> DataFrame:
-    """(model, doc_id, value, error, error_type): one call a document; value is the answer's JSON object."""
+def extract(documents: DataFrame, spec: DataFrame, chat: Chat, model: str, system: str = "Extract the fields as one JSON object.", retry: Retry = Retry(), pause_s: float = 0.0) -> DataFrame:
+    """(model, doc_id, value, error, error_type): one call a document; value is the answer's JSON object.
+
+    pause_s: seconds that a task waits between its calls, so that tasks times calls a second stay under an endpoint's limit.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text, fields in zip(frame.doc_id, frame.text, frame.fields, strict=True):
+            for n, (doc, text, fields) in enumerate(zip(frame.doc_id, frame.text, frame.fields, strict=True)):
+                if n and pause_s:
+                    retry.sleep(pause_s)
                 try:
                     rows.append((model, doc, json.dumps(parse_object(retry.call(chat, system, f"{fields}\n\n{text}"))), None, None))
                 except Exception as e:  # the row carries it
@@ -134,6 +181,14 @@ def extract(documents: DataFrame, spec: DataFrame, chat: Chat, model: str, syste
     return asked.mapInPandas(run, f"model string, doc_id {kind}, value string, error string, error_type string")
 
 
+def to_runs(answers: DataFrame, spec: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Long run rows (model, created_at, doc_id, field, value VARIANT, error, error_type): the spec's fields, or one row with the error."""
+    fields = to_fields(answers.where("error IS NULL"), spec).withColumns({"error": F.lit(None).cast("string"), "error_type": F.lit(None).cast("string")})
+    failed = answers.where("error IS NOT NULL").select("model", "doc_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("variant").alias("value"), "error", "error_type")
+    stamped = fields.unionByName(failed).withColumn("created_at", F.current_timestamp() if created_at is None else created_at)
+    return stamped.select("model", "created_at", "doc_id", "field", "value", "error", "error_type")
+
+
 def to_fields(answers: DataFrame, spec: DataFrame) -> DataFrame:
     """Long rows (model, doc_id, field, value VARIANT) of the spec's fields; missing ones are null."""
     rows = answers.withColumn("whole", F.try_parse_json("value"))
@@ -164,19 +219,26 @@ def judge(pairs: DataFrame, ask: Chat, system: str, retry: Retry = Retry()) -> D
 
 
 def embed(texts: DataFrame, call: Embed, model: str, retry: Retry = Retry()) -> DataFrame:
-    """(model, h, v) of distinct texts (h, text); rows whose call fails are left out, so that they are misses again."""
+    """(model, h, v, error) of distinct texts (h, text); a failed call has a null vector and its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for h, text in zip(frame.h, frame.text, strict=True):
                 try:
-                    rows.append((model, h, [float(x) for x in retry.call(call, text)]))
-                except Exception:
-                    continue
-            yield pd.DataFrame(rows, columns=["model", "h", "v"])
+                    rows.append((model, h, [float(x) for x in retry.call(call, text)], None))
+                except Exception as e:  # the row carries it
+                    rows.append((model, h, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["model", "h", "v", "error"])
+
+    return texts.select("h", "text").mapInPandas(run, "model string, h string, v array<double>, error string")
+
 
-    return texts.select("h", "text").mapInPandas(run, "model string, h string, v array<double>")
+def embedded(chunks: DataFrame, cache: DataFrame, call: Embed, model: str, text: str = "text", retry: Retry = Retry()) -> tuple[DataFrame, DataFrame]:
+    """(chunks with their vector, new cache rows): what the model's cache misses is embedded; failed ones stay misses."""
+    known = cache.where(F.col("model") == model)
+    new = embed(cache_misses(chunks, known, text), call, model, retry).where("error IS NULL").drop("error")
+    return with_vectors(chunks, known.select("model", "h", "v").unionByName(new), text), new
 
 
 def letter_embedder(text: str) -> list[float]:

@@ -104,6 +104,11 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float =
     return hits.groupBy("query_id", "scope", "key").agg(F.round(F.sum(part), DECIMALS).alias("score"))
 
 
+def in_section(part: str, section: str = "section") -> Column:
+    """A `where` condition: the section's path holds `part`, in any case of letters."""
+    return F.contains(F.lower(section), F.lit(part.lower()))
+
+
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "scope")) -> DataFrame:
     """The k best rows of each query (and scope) with their rank; ties by key."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "key")

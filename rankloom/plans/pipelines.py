@@ -51,6 +51,9 @@ def run_eval(spec: DataFrame, gold: DataFrame, runs: DataFrame, judged: DataFram
     unknown = [r.doc_id for r in scoring.unknown_documents(spec, runs).limit(10).collect()]
     if unknown:
         raise KeyError(f"documents without a field specification: {unknown}")
+    missing = [r.doc_id for r in runs.select("doc_id").distinct().join(gold.select("doc_id").distinct(), "doc_id", "left_anti").orderBy("doc_id").limit(10).collect()]
+    if missing:
+        raise FileNotFoundError(f"documents without golden data: {missing}")
     fields = scoring.score_fields(scoring.field_pairs(spec, gold, runs.where("field IS NOT NULL").select("model", "doc_id", "field", "value").unionByName(_failed(runs))))
     if judged is not None:
         verdict = judged.select("model", "doc_id", "field", F.col("correct").alias("verdict"))
@@ -60,6 +63,36 @@ def run_eval(spec: DataFrame, gold: DataFrame, runs: DataFrame, judged: DataFram
     return flat, docs, scoring.model_scores(docs)
 
 
+def failed_models(models: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Model scores with a row of zeros for each named model that has none, since its run is missing or unreadable."""
+    wanted = models.sparkSession.createDataFrame([(n,) for n in names], "model string")
+    zeros = wanted.join(models.select("model"), "model", "left_anti").select("model", *[F.lit(0.0).alias(c) for c in ("precision", "recall", "f1")], F.lit(0).cast("long").alias("n_documents"))
+    return models.unionByName(zeros)
+
+
+def run_judged_eval(spec: DataFrame, gold: DataFrame, runs: DataFrame, ask: extraction.Chat, system: str, retry: extraction.Retry = extraction.Retry()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """run_eval() with a judge's verdicts on free text that neither null decides."""
+    pairs = scoring.needs_judge(scoring.field_pairs(spec, gold, runs.where("field IS NOT NULL").select("model", "doc_id", "field", "value")))
+    asked = pairs.select(F.to_json(F.struct("model", "doc_id", "field")).alias("id"), "field", F.col("gold.s").alias("gold"), F.col("predicted.s").alias("predicted"))
+    verdicts = extraction.judge(asked, ask, system, retry).withColumn("k", F.from_json("id", "model string, doc_id string, field string"))
+    return run_eval(spec, gold, runs, verdicts.select("k.model", "k.doc_id", "k.field", "correct"))
+
+
+def document_view(doc_id: str, documents: DataFrame, spec: DataFrame, gold: DataFrame, scores: DataFrame, strategies: Sequence[str] = retrieval.STRATEGIES) -> dict[str, DataFrame]:
+    """What a page on one document shows: its text, its fields with golden values, and its queries with each strategy's hit and MRR."""
+    here = F.col("doc_id") == doc_id
+    return {
+        "source": documents.where(here),
+        "fields": spec.where(here).join(gold.withColumnRenamed("value", "gold"), ["doc_id", "field"], "left").select("field_ix", "field", "type", "description", F.to_json("gold").alias("gold")),
+        "queries": evaluation.by_strategy(scores.where(here), list(strategies)).join(scores.where(here).select("query_id", "question").distinct(), "query_id"),
+    }
+
+
+def model_view(model: str, fields: DataFrame) -> DataFrame:
+    """A model's scored fields, by document; the model is found by its own name, as file names aren't one to one."""
+    return fields.where(F.col("model") == model).select("doc_id", "field_ix", "field", "category", "correct", "f1")
+
+
 def _failed(runs: DataFrame) -> DataFrame:
     """Documents whose call failed score as documents without any value."""
     return runs.where("field IS NULL").select("model", "doc_id", F.lit("").alias("field"), "value")

@@ -49,6 +49,12 @@ def listed(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count_distinct("name").alias("n")).where(F.col("n") == len(set(names))).select("doc_id").orderBy("doc_id")
 
 
+def prompts(spark: SparkSession, root: str, names: tuple[str, ...] = ("system", "judge")) -> dict[str, str]:
+    """Prompt texts by name, of files <name>.txt or <name>.md; a few short files, read on the driver. Missing ones are left out."""
+    found = _whole(spark, f"{root}/*.{{txt,md}}").select(F.regexp_extract("path", r"([^/]+)\.(?:txt|md)$", 1).alias("name"), "text")
+    return {r.name: r.text.strip() for r in found.where(F.col("name").isin(*names)).collect()}
+
+
 def golden_queries(spark: SparkSession, root: str, name: str = "retrieval.json") -> DataFrame:
     """(doc_id, query_id, question, expected_spans, rationale); documents without the file have no rows."""
     rows = _whole(spark, f"{root}/*/{name}").select("doc_id", F.explode(F.from_json("text", f"array<struct<{QUERY_FIELDS}>>")).alias("q"))

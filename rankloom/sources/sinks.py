@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +23,31 @@ def retrieval_report(overall: DataFrame, per_doc: DataFrame, per_query: DataFram
 
 def save_runs(rows: DataFrame, path: str) -> None:
     """Write long run rows; only the (model, doc_id) partitions that rows has are replaced."""
-    rows.withColumn("value", F.to_json("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "doc_id").parquet(path)
+    named = rows.withColumn("field", F.coalesce("field", F.lit(""))) if "error" in rows.columns else rows
+    named.withColumn("value", F.to_json("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "doc_id").parquet(path)
 
 
 def load_runs(spark, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    return rows.withColumn("value", F.try_parse_json("value")).withColumns({c: F.col(c).cast("string") for c in ("model", "doc_id")})
+    return rows.withColumn("field", F.nullif("field", F.lit(""))).withColumn("value", F.try_parse_json("value")).withColumns({c: F.col(c).cast("string") for c in ("model", "doc_id")})
 
 
 def append_cache(new: DataFrame, path: str) -> None:
-    """Append vectors of texts that the cache missed."""
-    new.select("model", "h", "v").write.mode("append").parquet(path)
+    """Append vectors of texts that the cache missed, as lines {"h", "v"}, which readers.embedding_cache() reads back."""
+    new.where("v IS NOT NULL").select("h", "v").write.mode("append").json(path)
 
 
 def save_baseline(current: DataFrame, stale: DataFrame, path: str) -> bool:
-    """Write a new baseline if the old one lacks a model; whether it did."""
+    """Write a new baseline if the old one lacks a model; whether it did. One JSON object by model, which readers.baseline() reads back.
+
+    A baseline is a row a model, so it is collected before the file that `current` may depend on is replaced.
+    """
     if stale.limit(1).count() == 0:
         return False
-    current.write.mode("overwrite").parquet(path)
+    metrics = ("precision", "recall", "f1", "n_documents")
+    whole = {r.model: {m: r[m] for m in metrics} for r in current.select("model", *metrics).orderBy("model").collect()}
+    spark = current.sparkSession
+    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return True
 
 

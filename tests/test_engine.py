@@ -1,7 +1,6 @@
 """Operators of the engine on small cases, against loops where SQL can't express them."""
 
 import json
-import re
 from collections import Counter
 
 import pytest
@@ -57,55 +56,63 @@ def test_section_and_text_match(spark):
 # chunking
 
 
-def blocks_loop(text):
-    blocks, path, buf = [], [], []
-
-    def flush():
-        if body := "\n".join(buf).strip():
-            blocks.append((" > ".join(path) if path else "Document", body))
-
-    for line in text.split("\n"):
-        if not (m := re.match(r"^(#{1,6})\s+(.*)$", line)):
-            buf.append(line)
-        elif len(m[1]) > 1:
-            flush()
-            path, buf = ([m[2].strip()] if len(m[1]) == 2 or not path else [path[0], m[2].strip()]), []
-    flush()
-    return blocks
-
-
-def pack_loop(body, most, overlap):
-    if len(body) <= most:
-        return [body]
-    out, now = [], ""
-    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", body))):
-        if len(now) + len(p) + 2 <= most:
-            now = f"{now}\n\n{p}".strip() if now else p
-            continue
-        if now:
-            out.append(now)
-        while len(p) > most:
-            out.append(p[:most])
-            p = p[most - overlap :]
-        now = p
-    return [*out, now] if now else out
-
-
-TEXTS = [
-    "intro\n# Title\nmore\n## A\nbody a\n### B\nbody b\n#### C\nc\n## D\n\n### E\ne",
-    "### first\nx\n### second\ny\n# mid\nz",
-    "no header at all",
-    "",
-    "## Long\n" + "\n\n".join("p" * n for n in (10, 30, 95, 3, 3, 40)) + "\n \t\n" + "q" * 120,
-    "## Café ≥ 😀\n" + "é😀" * 60,
+HEADERS = [
+    ("intro\n# Title\nmore\n## A\nbody a\n### B\nbody b\n#### C\nc\n## D\n\n### E\ne", [(0, "Document", "intro\nmore"), (1, "A", "body a"), (2, "A > B", "body b"), (3, "A > C", "c"), (5, "D > E", "e")]),
+    ("### first\nx\n### second\ny\n# mid\nz", [(1, "first", "x"), (2, "first > second", "y\nz")]),
+    ("no header at all", [(0, "Document", "no header at all")]),
+    ("", []),
+    ("## A\n## B\n\n##no blank\n####### seven\n", [(2, "B", "##no blank\n####### seven")]),
+    ("### x\na\n## y\nb\n### z\nc", [(1, "x", "a"), (2, "y", "b"), (3, "y > z", "c")]),
+    ("\u00a0lead\n##\u00a0 Caf\u00e9 \u2265 \nbody \u00a0\n", [(0, "Document", "lead"), (1, "Caf\u00e9 \u2265", "body")]),
 ]
 
 
-@pytest.mark.parametrize(("most", "overlap"), [(12, 3), (50, 10), (800, 100)])
-def test_chunks_against_loops(spark, most, overlap):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = [(r.doc_id, r.section, r.text) for r in chunking.chunks(df, most, overlap).orderBy("doc_id", "chunk_ix").collect()]
-    assert got == [(i, s, p) for i, t in enumerate(TEXTS) for s, b in blocks_loop(t) for p in pack_loop(b, most, overlap)]
+def test_header_blocks(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADERS)] + [(99, None)], "doc_id long, text string")
+    got = {}
+    for r in chunking.header_blocks(df).orderBy("doc_id", "block").collect():
+        got.setdefault(r.doc_id, []).append((r.block, r.section, r.body))
+    assert got == {i: want for i, (_, want) in enumerate(HEADERS) if want}
+
+
+def test_rows_that_share_an_id_are_cut_apart(spark):
+    df = spark.createDataFrame([(1, "## A\nx"), (1, "## B\ny\n### C\nz")], "doc_id long, text string")
+    assert sorted((r.section, r.text, r.chunk_ix) for r in chunking.chunks(df).collect()) == [("A", "x", 1), ("B", "y", 1), ("B > C", "z", 2)]
+
+
+PACKED = [
+    ("short", 12, 3, ["short"]),
+    ("aa\n\nbbbb\n\ncc", 10, 2, ["aa\n\nbbbb", "cc"]),
+    ("aaaa\n\nbbbb", 8, 0, ["aaaa", "bbbb"]),
+    ("x" * 25, 10, 2, ["x" * 10, "x" * 10, "x" * 9]),
+    ("0123456789abcdef", 10, 4, ["0123456789", "6789abcdef"]),
+    ("a\n \t\n0123456789abcdef\n\nz", 12, 4, ["a", "0123456789ab", "89abcdef\n\nz"]),
+    ("a\n\n\n\nb" + "c" * 12, 12, 0, ["a", "b" + "c" * 11, "c"]),
+    ("\u00e9\U0001f600" * 6 + "!", 12, 0, ["\u00e9\U0001f600" * 6, "!"]),
+]
+
+
+@pytest.mark.parametrize(("body", "most", "overlap", "want"), PACKED)
+def test_pieces(spark, body, most, overlap, want):
+    assert one(spark, body, lambda c: chunking.pieces(c, most, overlap)) == want
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(bodies=st.lists(st.lists(st.integers(1, 60), min_size=1, max_size=8), min_size=1, max_size=20), most=st.integers(8, 40), overlap=st.integers(0, 7))
+def test_properties_of_pieces(spark, bodies, most, overlap):
+    """Pieces are bounded, hold all paragraphs in order, and repeat only the overlap of a cut one."""
+    # No character comes twice, so that a piece shows where it is from.
+    texts = ["\n\n".join("".join(chr(0x4E00 + sum(sizes[:n]) + k) for k in range(size)) for n, size in enumerate(sizes)) for sizes in bodies]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, body string")
+    for r in df.select("body", chunking.pieces(F.col("body"), most, overlap).alias("p")).collect():
+        assert all(0 < len(x) <= most for x in r.p)
+        letters, seen = r.body.replace("\n", ""), 0
+        for x in r.p:
+            flat = x.replace("\n", "")
+            at = letters.index(flat)
+            assert at <= seen <= at + overlap
+            seen = at + len(flat)
+        assert seen == len(letters)
 
 
 def test_chunk_ids(spark):
@@ -207,23 +214,12 @@ def test_scalar_scores(spark, category, gold, said, want):
     assert scoring.score_fields(pairs).first().score.correct is want
 
 
-def greedy(gold, said):
-    used, n = set(), 0
-    for g in gold:
-        for i, p in enumerate(said):
-            if i not in used and g and g == p:
-                used.add(i)
-                n += 1
-                break
-    return n
-
-
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(pairs=st.lists(st.tuples(st.lists(st.sampled_from(["", "a", "b", "c"]), max_size=5), st.lists(st.sampled_from(["", "a", "b", "d"]), max_size=5)), min_size=1, max_size=30))
-def test_list_match_is_greedy_match(spark, pairs):
+def test_matched_items_are_the_multiset_intersection(spark, pairs):
     df = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(pairs)], "i int, g array<string>, p array<string>")
     got = [r.n for r in df.select("i", scoring.matched_items(F.col("g"), F.col("p")).alias("n")).orderBy("i").collect()]
-    assert got == [greedy(g, p) for g, p in pairs]
+    assert got == [sum(((Counter(g) & Counter(p)) - Counter({"": 99})).values()) for g, p in pairs]
 
 
 @pytest.mark.parametrize(
