@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from rankloom.operators import extraction, scoring
+from rankloom.operators import chunking, extraction, scoring
 from rankloom.plans import pipelines
 from rankloom.session import build_session
 from rankloom.sources import readers, sinks
@@ -24,49 +26,97 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("retrieval-eval")
     r.add_argument("--doc", action="append")
     r.add_argument("--k", type=int, default=5)
+    r.add_argument("--strategies", default="bm25", help="of bm25, dense and hybrid, with commas; the last two need --embed-url")
+    r.add_argument("--embed-url")
+    r.add_argument("--embed-model", default="embedding")
+    r.add_argument("--cache", help="JSON lines of vectors, read and appended to")
     x = sub.add_parser("extract")
     x.add_argument("--model", required=True)
     x.add_argument("--doc", action="append")
+    x.add_argument("--base-url", help="of a chat-completions endpoint; the key comes from the variable that --key-variable names")
+    x.add_argument("--key-variable", default="CHAT_API_KEY")
+    x.add_argument("--prompts", help="folder with system.txt")
+    x.add_argument("--pause", type=float, default=0.0, help="seconds between the calls of a task")
+    x.add_argument("--batch", type=int, default=16, help="documents whose answers are saved together")
     e = sub.add_parser("eval")
     e.add_argument("--all-models", action="store_true")
-    e.add_argument("--model")
+    e.add_argument("--mock-run", action="store_true", help="score the runs that are there; no model is called in any case")
+    e.add_argument("--model", action="append")
     e.add_argument("--regression", action="store_true")
     return p
 
 
-def retrieval_eval(spark, args) -> int:
+def retrieval_eval(spark, args, call=None) -> int:
     if not readers.listed(spark, args.golden, ("source.md", "retrieval.json")).limit(1).count():
         print("no golden documents", file=sys.stderr)
         return 1
-    scores, report = pipelines.run_retrieval_eval(spark, args.golden, args.doc, args.k or 5, ("bm25",))
+    strategies = tuple(s for s in args.strategies.split(",") if s)
+    vectors = {}
+    call = call or (extraction.http_embed(args.embed_url, args.embed_model) if args.embed_url else None)
+    if call is not None and set(strategies) - {"bm25"}:
+        vectors = _vectors(spark, args, call)
+    scores, report = pipelines.run_retrieval_eval(spark, args.golden, args.doc, args.k or 5, strategies, **vectors)
     print(sinks.table_text(report.orderBy("strategy", F.col("doc_id").asc_nulls_first())))
     if args.out:
         sinks.write_json(scores, f"{args.out}/retrieval")
     return 0
 
 
+def _vectors(spark, args, call) -> dict:
+    """Vectors of chunks and questions, by the cache and the embedder; the cache is appended to."""
+    chunks = chunking.chunks(readers.documents(spark, args.golden)).select("chunk_id", "text")
+    asked = readers.golden_queries(spark, args.golden).select("query_id", F.col("question").alias("text"))
+    none = spark.createDataFrame([], "model string, h string, v array<double>")
+    cache = readers.embedding_cache(spark, f"{args.cache}/*", args.embed_model) if args.cache else none
+    _, new = extraction.embedded(chunks.select("text").unionByName(asked.select("text")), cache, call, args.embed_model)
+    new = new.persist()  # each text is embedded once
+    if args.cache:
+        sinks.append_cache(new, args.cache)
+    whole = cache.select("model", "h", "v").unionByName(new)
+    named = lambda df, key: extraction.with_vectors(df, whole).select(key, F.col("v").alias("vector"))
+    return {"vectors": named(chunks, "chunk_id"), "query_vectors": named(asked, "query_id")}
+
+
 def extract(spark, args, chat=None) -> int:
+    """Documents without a successful row are asked for, a batch at a time; each batch is saved before the next, errors as such."""
     docs = readers.documents(spark, args.golden)
     docs = docs if not args.doc else docs.where(F.col("doc_id").isin(*args.doc))
     if not docs.limit(1).count():
         print("no documents", file=sys.stderr)
         return 1
+    if chat is None and args.base_url:
+        chat = extraction.http_chat(args.base_url, args.model, os.environ.get(args.key_variable, ""))
     if chat is None:
-        print("no chat endpoint is configured", file=sys.stderr)
+        print("no chat endpoint: give --base-url", file=sys.stderr)
         return 1
-    spec = readers.field_spec(spark, args.spec)
-    answers = extraction.extract(docs, spec, chat, args.model)
-    sinks.save_runs(extraction.to_fields(answers, spec).withColumn("error", F.lit(None).cast("string")), args.out or "runs")
+    spec, out = readers.field_spec(spark, args.spec), args.out or "runs"
+    system = readers.prompts(spark, args.prompts).get("system") if args.prompts else None
+    try:
+        docs = extraction.pending(docs, sinks.load_runs(spark, out), args.model)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    names = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").collect()]  # names of golden documents, few
+    failed = 0
+    for at in range(0, len(names), args.batch):
+        part = docs.where(F.col("doc_id").isin(*names[at : at + args.batch]))
+        answers = extraction.extract(part, spec, chat, args.model, **({"system": system} if system else {}), pause_s=args.pause).persist()
+        sinks.save_runs(extraction.to_runs(answers, spec), out)
+        failed += answers.where("error IS NOT NULL").count()
+        answers.unpersist()
+    print(f"{len(names) - failed} of {len(names)} documents extracted")
     return 0
 
 
 def evaluate(spark, args) -> int:
     runs = readers.runs(spark, args.runs)
-    runs = runs if not args.model else runs.where(F.col("model") == args.model)
+    names = None if args.all_models or not args.model else args.model
+    runs = runs if names is None else runs.where(F.col("model").isin(*names))
     if not runs.limit(1).count():
         print("no runs", file=sys.stderr)
         return 1
     _, docs, models = pipelines.run_eval(readers.field_spec(spark, args.spec), readers.golden_records(spark, args.golden), runs)
+    models = pipelines.failed_models(models, names or [])
     print(sinks.table_text(models.orderBy(F.desc("f1"), "model")))
     if args.out:
         sinks.write_json(docs, f"{args.out}/documents")

@@ -132,22 +132,22 @@ def parse_fenced_json(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("p.value").isNotNull().alias("parsed"))
 
 
-@R.add()
+@R.add("SELECT doc_id, CASE WHEN lang = 'de' THEN 'BadAnswer' END AS error_type, CASE WHEN lang = 'de' THEN NULL ELSE CAST(length(coalesce(text, '')) AS BIGINT) END AS n FROM documents")
 def extract_mock_llm(spark, d):
     """Executors call a chat transport; here one that answers with a document's length, and fails on German ones."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.col("lang"), F.lit("|"), F.length("text").cast("string")).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).alias("text"))
     spec = docs.select("doc_id", F.lit("n").alias("field"), F.lit(0).alias("field_ix"), F.lit("integer").alias("type"), F.lit("length").alias("description"), F.lit("string").alias("item_type"), F.lit(None).cast("array<string>").alias("valid_values"), F.expr("cast(map() AS map<string,string>)").alias("subfields"))
 
     def chat(system: str, user: str) -> str:
-        lang, n = user.rsplit("\n\n", 1)[1].split("|")
-        return "no answer" if lang == "de" else f'```json\n{{"n": {n}}}\n```'
+        lang, text = user.split("\n\n", 1)[1].split("|", 1)
+        return "no answer" if lang == "de" else f'```json\n{{"n": {len(text)}}}\n```'
 
     answers = extraction.extract(docs, spec, chat, "mock")
     fields = extraction.to_fields(answers, spec)
     return answers.select("doc_id", "error_type").join(fields.select("doc_id", F.try_variant_get("value", "$", "bigint").alias("n")), "doc_id")
 
 
-@R.add()
+@R.add("SELECT DISTINCT 'letters' AS model, sha256(text) AS h, CAST(26 AS INT) AS dim, CAST(length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS DOUBLE) AS total FROM documents WHERE text IS NOT NULL")
 def embed_udf(spark, d):
     """Vectors of texts that a cache misses, by an injected embedder on executors."""
     docs = table(spark, d, "documents").where("text IS NOT NULL")

@@ -12,10 +12,11 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def build_session(app: str = "rankloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings that the engine expects (ANSI, AQE, UTC)."""
+def build_session(app: str = "rankloom", cores: str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session with the settings that the engine expects (ANSI, AQE, UTC). checkpoint_dir: for scratch tables, else a temporary folder."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", checkpoint_dir) if checkpoint_dir else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
