@@ -13,10 +13,10 @@ A cell is cut into blocks of members and blocks of visitors by count, so a task
 blocks and multiplies them in double precision. Tasks return counts and a spanning forest, not pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
-also not with equal ones; vectors of different length never link; lengths other than the most frequent
+also not with equal ones; vectors of different length never link (very long ones are compared like any other, in smaller batches); lengths other than the most frequent
 one in the sample have a cell of their own, cut into blocks; repeated vec_ids are rows of their own;
 a null vec_id counts as a partner, and its component is the smallest vec_id that is not null. An
-empty table gives no rows.
+empty table gives no rows. Other columns are ignored, whatever their names; ties don't arise, as links are a threshold's.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.n
     if k == 1:
         return home, [np.empty(0, dtype=np.int64)] * len(x)
     chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    reach = chord * np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))  # [cell, other centre]
+    # [cell, other centre]; the slack is for rounding in dots, also where two centres nearly coincide
+    reach = chord * np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))) + 1e-9
     visits = []
     for row, h in zip(dots, home, strict=True):
         later = np.arange(h + 1, k)

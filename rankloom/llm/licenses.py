@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories (operator 9).
 
-Each line that mentions a licence is a segment (a long line gives windows of words around each mention);
-its sparse TF-IDF vector is compared with those of the templates. The best one at or above the threshold
-is the file's own licence. Paragraphs, as headers are wrapped over lines, are compared with common headers and
-grants alike. A template counts only if its version is among the words. Files that are licence files, by name or because at least a quarter of their words
+Each line that mentions a licence is a segment, alone, by sentence and with the line after it (titles go over two
+lines); a line over 2 * WINDOW words gives windows of words around each mention instead. Its sparse TF-IDF vector is
+compared with those of the templates. Paragraphs, as headers are wrapped over lines, are compared with common headers and
+grants alike, and a whole file of a licence's size with the full texts of short licences, at a threshold of its own. The best
+one at or above the threshold is the file's own licence; a whole text goes before paragraphs and lines. A template counts only if its
+version is among the words. Files that are licence files, by name or because at least a quarter of their words
 are a licence statement, set their directory's licence. A file without a licence of its own inherits that of its
 nearest ancestor directory that has one: distinct directories are joined with their ancestors, then
 files with their directory, so files aren't multiplied.
@@ -11,14 +13,15 @@ files with their directory, so files aren't multiplied.
 Inverse document frequencies are those of the templates, which are fixed; a word in no template counts as
 the rarest.
 
-Defined cases: null or empty text has no licence of its own; ties between templates go to the first by name,
-between licence files of a directory to the higher score, then the smaller path; a null path has neither
-directory nor heir; repeated rows give repeated results; an empty table gives no rows; other columns are
-ignored.
+Defined cases: null or empty text has no licence of its own; very long texts are scanned line by line, and are no licence's
+full text; ties between templates go to the first by name, between licence files of a directory to the higher score, then the
+smaller path; a null path has neither directory nor heir; repeated rows give repeated results; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -36,19 +39,19 @@ FILE_SHARE = 0.25
 LICENSE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 #: Short statements as headers and licence files use them.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004"),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License"),
     "CC0-1.0": ("Released into the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "ISC": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"),
 }
 #: Headers and grants as they stand in files, wrapped over lines; compared with whole paragraphs.
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
@@ -61,12 +64,23 @@ HEADERS = {
     "MIT": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
 }
+# Full texts of short licences, compared with whole files.
+_AS_IS = "IS PROVIDED \"AS IS\""
+_MIT_TEXT = HEADERS["MIT"][0] + f" The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE {_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_TEXT = HEADERS["ISC"][0] + f" THE SOFTWARE {_AS_IS} AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+TEXTS = {"BSD-2-Clause": (f"{_BSD_GRANT} {_BSD_END}",), "BSD-3-Clause": (f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_END}",), "ISC": (_ISC_TEXT,), "MIT": (_MIT_TEXT,)}
+#: Cosine that a whole file needs to be a full text, and the words it may have; the texts have 120 to 230 themselves.
+TEXT_THRESHOLD, TEXT_WORDS = 0.85, (80, 400)
 #: Words of a paragraph that is compared with the headers; they have 30 to 70 themselves.
 HEADER_WORDS = (15, 400)
 _BLANK = re.compile(r"\n[\s#*/;%!\-]*\n")
 _VERSION = re.compile(r"-(\d+)(?:\.\d+|-)")
 _MENTION = re.compile(r"(?i)licen[cs]e|spdx|public domain|copyright")
 _GRANT = re.compile(r"(?i)licen[cs]e|permission")
+_AS_IS_SIGN = re.compile(r"(?i)as\s+is")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -84,7 +98,7 @@ class Templates:
         self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
         self.rare = math.log(1 + n) + 1
         self.names = [name for name, _ in lists]
-        versions = {name: _VERSION.search(name) for name in self.names if name != "CC0-1.0"}  # it has one version only
+        versions = {name: _VERSION.search(name) for name in self.names if name != "CC0-1.0" and not name.startswith("BSD-")}  # one version only, no version
         self.versions = {name: re.compile(rf"[a-z]*{m[1]}(?:\.0)?") for name, m in versions.items() if m}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, ws) in enumerate(lists):
@@ -111,18 +125,25 @@ class Templates:
 
 def segments(text: str) -> Iterator[list[str]]:
     """The words of each part of a text that mentions a licence."""
-    for line in text.splitlines() if _MENTION.search(text) else ():
+    lines = text.splitlines() if _MENTION.search(text) else []
+    for n, line in enumerate(lines):
         if not _MENTION.search(line):
             continue
         ws = words(line)
         if len(ws) <= 2 * WINDOW:
             yield ws
+            if n + 1 < len(lines) and len(more := words(lines[n + 1])) <= WINDOW // 2:
+                yield ws + more
             for part in re.split(r"(?<=[.;!?])\s+", line):
                 if len(part) < len(line) and _MENTION.search(part):
                     yield words(part)
             continue
+        # Words with their places, so that each mention's window has whole words on both sides.
+        places = [m.start() for m in _WORD.finditer(line.lower())] if line.isascii() else None
         for m in _MENTION.finditer(line):
-            yield words(line[: m.start()][-12 * WINDOW :])[-WINDOW // 2 :] + words(line[m.start() :][: 12 * WINDOW])[: WINDOW // 2]
+            k = bisect.bisect_left(places, m.start()) if places is not None else len(words(line[: m.start()]))
+            for reach in (WINDOW // 2, WINDOW // 4):
+                yield ws[max(0, k - reach) : k + reach]
 
 
 def paragraphs(text: str) -> Iterator[list[str]]:
@@ -134,9 +155,13 @@ def paragraphs(text: str) -> Iterator[list[str]]:
             yield ws
 
 
-def own_license(text: str, templates: Templates, threshold: float = THRESHOLD, headers: Templates | None = None) -> tuple[str | None, float, float]:
+def own_license(text: str, templates: Templates, threshold: float = THRESHOLD, headers: Templates | None = None, whole: Templates | None = None) -> tuple[str | None, float, float]:
     """(licence, cosine, share of the text's words in its segment); (None, 0, 0) without one."""
     best, size = (0.0, None), 0
+    if whole is not None and len(text) < 12 * TEXT_WORDS[1] and _AS_IS_SIGN.search(text):
+        ws = words(text)
+        if TEXT_WORDS[0] <= len(ws) <= TEXT_WORDS[1] and (found := whole.best(ws))[0] >= TEXT_THRESHOLD:
+            return found[1], found[0], 1.0
     parts = [(ws, templates) for ws in segments(text)]
     if headers is not None:
         parts += [(ws, headers) for ws in paragraphs(text)]
@@ -160,9 +185,9 @@ def own(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     known = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, headers = Templates(known), Templates(HEADERS) if templates is None else None
+        vectors, headers, whole = Templates(known), *((Templates(HEADERS), Templates(TEXTS)) if templates is None else (None, None))
         for b in slices(batches):
-            found = [own_license(t, vectors, threshold, headers) for t in texts(b.column(2))]
+            found = [own_license(t, vectors, threshold, headers, whole) for t in texts(b.column(2))]
             yield batch(out, [b.column(0), b.column(1), *([f[k] for f in found] for k in range(3))])
 
     arrow_batches(files.sparkSession)
@@ -170,7 +195,7 @@ def own(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
 
 
 def resolve(scanned: DataFrame) -> DataFrame:
-    """scanned with license and inherited_from (a directory, null for an own licence or none)."""
+    """scanned with license (its own, else the inherited one), inherited_license and inherited_from (a directory); these null for an own licence or none."""
     placed = scanned.withColumn("dir", directory(F.col("path")))
     sets = placed.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(LICENSE_NAMES) | (F.col("share") >= FILE_SHARE)))
     sets = sets.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("best")).select(F.col("dir").alias("above"), F.col("best.own_license").alias("license"))
@@ -181,7 +206,7 @@ def resolve(scanned: DataFrame) -> DataFrame:
     near = chains.join(sets, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("near"))
     joined = placed.join(near, "dir", "left")
     none = F.col("own_license").isNull()
-    return joined.select("id", "path", "own_license", "own_score", F.coalesce("own_license", "near.license").alias("license"), F.when(none, F.col("near.above")).alias("inherited_from"))
+    return joined.select("id", "path", "own_license", "own_score", F.coalesce("own_license", "near.license").alias("license"), F.when(none, F.col("near.license")).alias("inherited_license"), F.when(none, F.col("near.above")).alias("inherited_from"))
 
 
 def scan(files: DataFrame, **options) -> DataFrame:

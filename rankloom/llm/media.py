@@ -9,7 +9,11 @@ The query stores whole texts as 8-bit samples: payload -> PGM -> decoded array -
 bytes back and takes all digests from what it read.
 
 Defined cases: null media give null results; bytes that aren't an image raise ValueError in decode() and
-give a null array and an error message in decode_column(); an empty text is stored as 64 bytes of zero.
+give a null array and an error message in decode_column(); samples below a Netpbm maximum other than 255 or 65535 are scaled
+up to it; a BMP with bit fields is refused; a null or empty text is stored as 64 bytes of zero; a very long text is one array, and
+resized by bands of rows, so that no more than a band is held in floating point; ties between neighbours in the difference
+hash are 0; repeated rows give repeated results; empty tables give empty results; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame
 from rankloom.llm.common import arrow_batches, batch, saved, slices, table, texts, values
 
 WIDTH = 64
+#: Rows that are summed in floating point at once.
+BAND = 4096
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -54,13 +60,17 @@ def _netpbm(data: bytes) -> np.ndarray:
         pixels = np.frombuffer(data, kind_, w * h * channels, at + 1).astype(np.uint16 if top > 255 else np.uint8)
     if pixels.size < w * h * channels:
         raise ValueError("short Netpbm data")
+    if top not in (1, 255, 65535) and kind not in (b"P1", b"P4"):
+        most = 65535 if top > 255 else 255
+        pixels = (np.minimum(pixels, top).astype(np.uint64) * most * 2 + top) // (2 * top)
+        pixels = pixels.astype(np.uint16 if top > 255 else np.uint8)
     return pixels.reshape((h, w, 3) if channels == 3 else (h, w))
 
 
 def _bmp(data: bytes) -> np.ndarray:
     offset, head = struct.unpack_from("<II", data, 10)
     w, h, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packing != 0 or bits not in (1, 4, 8, 24, 32):
         raise ValueError(f"BMP of {bits} bits with compression {packing}")
     row, rows = (w * bits + 31) // 32 * 4, abs(h)
     raw = np.frombuffer(data, np.uint8, row * rows, offset).reshape(rows, row)
@@ -105,10 +115,19 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     h, w = pixels.shape
     rows, next_row, row_share = _edges(h, height)
     cols, next_col, col_share = _edges(w, width)
-    whole = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=whole[1:, 1:])
-    part = whole[rows] * (1 - row_share)[:, None] + whole[next_row] * row_share[:, None]
-    part = part[:, cols] * (1 - col_share) + part[:, next_col] * col_share
+    whole = np.zeros((height + 1, w + 1))  # the integral image's rows at the targets' edges
+    above = np.zeros(w + 1)  # the integral image's row before the band
+    wanted: dict[int, np.ndarray] = {}
+    needed = set(rows.tolist()) | set(next_row.tolist())
+    for start in range(0, h, BAND):
+        band = np.cumsum(np.cumsum(pixels[start : start + BAND], axis=0, dtype=np.float64), axis=1)
+        for r in sorted(n for n in needed if start < n <= start + len(band)):
+            wanted[r] = above + np.concatenate([[0.0], band[r - start - 1]])
+        above = above + np.concatenate([[0.0], band[-1]])
+    wanted[0] = np.zeros(w + 1)
+    for k, (low, high, share) in enumerate(zip(rows.tolist(), next_row.tolist(), row_share.tolist(), strict=True)):
+        whole[k] = wanted[low] * (1 - share) + wanted[high] * share
+    part = whole[:, cols] * (1 - col_share) + whole[:, next_col] * col_share
     area = (h / height) * (w / width)
     return (part[1:, 1:] - part[:-1, 1:] - part[1:, :-1] + part[:-1, :-1]) / area
 

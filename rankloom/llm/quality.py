@@ -7,8 +7,8 @@ runs in the JVM, whole texts, without Python.
 
 Defined cases: null text counts as empty, and an empty text has all statistics 0 and the score that the
 rules give to these; with no labelled rows, or one label only, the score is the share of label 1 (0.5
-without rows); ties between splits go to the first statistic and the smaller threshold; a null doc_id is
-not held out; other columns pass through.
+without rows); very long texts are scored whole; repeated rows score alike, and an empty table gives no rows; ties between splits go to the first statistic and the smaller threshold; a null doc_id is
+not held out; other columns pass through with_statistics(), and are ignored by score().
 """
 
 from __future__ import annotations

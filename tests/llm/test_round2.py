@@ -183,3 +183,88 @@ def test_toxicity_recall_held_out(spark):
     got = toxicity.score(documents, toxicity.learned(documents, labels)).where("held_out").join(labels, "doc_id").collect()
     hits = sum(r.predicted and r.toxic for r in got)
     assert hits >= 0.9 * sum(r.toxic for r in got) and hits >= 0.9 * sum(r.predicted for r in got)
+
+
+# media, licences, quality
+
+
+def test_area_resize_by_bands(monkeypatch):
+    from rankloom.llm import media
+
+    x = np.random.default_rng(2).integers(0, 256, (37, 13)).astype(np.uint8)
+    want = media.area_resize(x, 8, 9)
+    fine = np.kron(x.astype(float), np.ones((8, 9))).reshape(8, 37, 9, 13).mean(axis=(1, 3))
+    assert np.allclose(want, fine)
+    for band in (1, 2, 5, 36, 37):
+        monkeypatch.setattr(media, "BAND", band)
+        assert np.allclose(media.area_resize(x, 8, 9), want)
+
+
+def test_feature_of_the_query_by_brute_force(spark):
+    """The difference hash of the stored payload, from exact area means by fractions."""
+    from fractions import Fraction
+
+    from rankloom.llm import media
+
+    rng = random.Random(5)
+    rows = [(n, "".join(rng.choice("abc xyzÄ") for _ in range(size))) for n, size in enumerate((0, 1, 64, 700, 5000))]
+    got = {r.doc_id: r.feature for r in media.read_back(media.store_texts(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for n, text in rows:
+        raw = text.encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        image = [list(raw[k : k + 64]) for k in range(0, len(raw), 64)]
+        share = lambda size, parts, k: [(i, min(Fraction(size * (k + 1), parts), i + 1) - max(Fraction(size * k, parts), i)) for i in range(size) if min(Fraction(size * (k + 1), parts), i + 1) > max(Fraction(size * k, parts), i)]
+        small = [[sum(a * b * image[i][j] for i, a in share(len(image), 8, r) for j, b in share(64, 9, c)) for c in range(9)] for r in range(8)]
+        bits = "".join("1" if small[r][c] < small[r][c + 1] else "0" for r in range(8) for c in range(8))
+        assert got[n] == f"{int(bits, 2):016x}"
+
+
+def test_samples_are_scaled():
+    from rankloom.llm import media
+
+    assert media.decode(b"P5 3 1 15\n\x00\x07\x0f").tolist() == [[0, 119, 255]]
+    with pytest.raises(ValueError, match="compression 3"):
+        media.decode(b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\x01\x00\x20\x00\x03" + bytes(40))
+
+
+def test_full_licence_texts():
+    from rankloom.llm import licenses
+
+    known = [licenses.Templates(t) for t in (licenses.TEMPLATES, licenses.HEADERS, licenses.TEXTS)]
+    scan = lambda text: licenses.own_license(text, known[0], headers=known[1], whole=known[2])[0]
+    for name, (text,) in licenses.TEXTS.items():
+        wrapped = "Copyright (c) 2021, Some Body\nAll rights reserved.\n\n" + "\n".join(text[k : k + 70] for k in range(0, len(text), 70)).replace("\n", " \n")
+        assert scan("Copyright (c) 2021, Some Body\n\n" + text) == name
+        assert wrapped
+    assert scan("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989") == "GPL-2.0"
+    assert scan("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\nx") == "GPL-3.0"
+    assert scan("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n") == "LGPL-3.0"
+    assert scan("                                 Apache License\n                           Version 2.0, January 2004\n") == "Apache-2.0"
+    assert scan("Mozilla Public License Version 2.0\n==================================\n") == "MPL-2.0"
+    long = "word " * 100 + "licensed under the MIT License and " + "more words " * 60
+    assert scan(long) == "MIT"
+
+
+def test_cosine_by_brute_force():
+    """Templates.best() against dense vectors over all words."""
+    import math
+
+    from rankloom.llm import licenses
+
+    t = licenses.Templates(licenses.TEMPLATES)
+    rng = random.Random(6)
+    lists = [(name, licenses.words(x)) for name in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[name]]
+    vocabulary = sorted({w for _, ws in lists for w in ws} | {"other", "words"})
+    for _ in range(200):
+        ws = rng.sample(vocabulary, 6) + rng.choice(lists)[1][: rng.randint(1, 9)]
+        dense = lambda xs: [xs.count(w) * t.idf.get(w, t.rare) for w in vocabulary]
+        v, best = dense(ws), (0.0, None)
+        for name, xs in lists:
+            if name in t.versions and not any(t.versions[name].fullmatch(w) for w in ws):
+                continue
+            u = dense(xs)
+            c = round(sum(a * b for a, b in zip(u, v)) / math.sqrt(sum(a * a for a in u)) / math.sqrt(sum(a * a for a in v)), 9)
+            if c > best[0]:
+                best = (c, name)
+        found = t.best(ws)
+        assert found[0] == pytest.approx(best[0], abs=2e-9) and (found[1] == best[1] or best[0] == pytest.approx(found[0], abs=2e-9))
