@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories (operator 9).
 
 Each line that mentions a licence is a segment, alone, by sentence and with the line after it (titles go over two
-lines); a line over 2 * WINDOW words gives windows of words around each mention instead. Its sparse TF-IDF vector is
+lines); a line over 2 * WINDOW words gives wide and narrow windows of words around each mention instead. Its sparse TF-IDF vector is
 compared with those of the templates. Paragraphs, as headers are wrapped over lines, are compared with common headers and
 grants alike, and a whole file of a licence's size with the full texts of short licences, at a threshold of its own. The best
 one at or above the threshold is the file's own licence; a whole text goes before paragraphs and lines. A template counts only if its
@@ -142,8 +142,8 @@ def segments(text: str) -> Iterator[list[str]]:
         places = [m.start() for m in _WORD.finditer(line.lower())] if line.isascii() else None
         for m in _MENTION.finditer(line):
             k = bisect.bisect_left(places, m.start()) if places is not None else len(words(line[: m.start()]))
-            for reach in (WINDOW // 2, WINDOW // 4):
-                yield ws[max(0, k - reach) : k + reach]
+            for before, behind in ((12, 12), (2, 6)):
+                yield ws[max(0, k - before) : k + behind]
 
 
 def paragraphs(text: str) -> Iterator[list[str]]:
