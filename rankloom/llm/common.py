@@ -7,10 +7,11 @@ operator turns only a slice of rows at a time into Python objects: see slices().
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,14 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, rows: int
             stop = min(max(int(np.searchsorted(ends, before + size, side="right")), at + 1), at + rows)
             yield b.slice(at, stop - at)
             at = stop
+    released()
+
+
+def released() -> None:
+    """Give freed memory back at a task's end, as idle workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sliced(column: pa.Array, f: Callable[[pa.Array], list], kind: pa.DataType) -> pa.Array:

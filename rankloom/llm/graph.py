@@ -27,14 +27,15 @@ HOT_SHARE = 1 / 512
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def joined_on(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def joined_on(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with named, which has one row for each key at most; how: inner or left.
 
     Rows of hot keys meet their (at most 1 / HOT_SHARE) rows of named by broadcast, where they lie. rows is read twice.
+    counts: (key, n) of rows, if known.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     least = rows.count() * HOT_SHARE
-    hot = [r[0] for r in counts.where((F.col("n") > max(least, 64)) & F.col(key).isNotNull()).collect()]
+    hot = [r[0] for r in counts.select(key, "n").where((F.col("n") > max(least, 64)) & F.col(key).isNotNull()).collect()]
     if not hot:
         return rows.join(named, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from rankloom.llm.common import arrow_batches, batch, slices, table, values
-from rankloom.llm.tokens import BLOCK_BYTES, encoder, id_type, vocabulary, with_end
+from rankloom.llm.tokens import encoder, id_type, vocabulary, with_end
 
 LENGTH = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens gathered before a window is packed: 256 sequences.
 WINDOW = 256 * LENGTH
+#: Bytes of text encoded at once, and words remembered: fewer than for files, as a pipeline's executors hold more beside them.
+BLOCK, CACHE_WORDS = 4 << 20, 300_000
 
 
 def cost(n: int) -> float:
@@ -139,7 +141,7 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
     schema = pa.schema([*_OUT, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, coder = Packer(length, window), encoder(vocab, "word", added)
+        packer, coder = Packer(length, window), encoder(vocab, "word", added, CACHE_WORDS)
         kind = id_type(max(coder.size, end_id + 1))
         base = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
@@ -154,7 +156,7 @@ def pack(df: DataFrame, vocab: str, end_id: int = END_ID, length: int = LENGTH,
             rows.clear()
             return b
 
-        for b in slices(batches, BLOCK_BYTES):
+        for b in slices(batches, BLOCK):
             for doc, ids in zip(values(b.column(0)), with_end(*coder.encode_many(b.column(1)), end_id, kind), strict=True):
                 emit(packer.add((doc, ids), len(ids)))
                 if len(rows) >= 1024:

@@ -220,9 +220,9 @@ def _meetings(contents: DataFrame, shards: int, least: float) -> DataFrame:
     level = F.floor(F.log("size") / (math.log(1 / least) + 1e-9))
     keys = [F.xxhash64(f"k{n}", level + up) for n in range(shards) for up in (0, 1)]
     members = saved(contents.where("size > 0").select("node", F.explode(F.array(*keys)).alias("key")), "members")
-    heads = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    links = saved(joined_on(members, heads, "key").where("a <> node").select("a", F.col("node").alias("b")), "meetings")
-    dropped(members)
+    heads = saved(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("a < last").select("key", "a", "n"), "heads")
+    links = saved(joined_on(members, heads.select("key", "a"), "key", counts=heads).where("a <> node").select("a", F.col("node").alias("b")), "meetings")
+    dropped(members, heads)
     return links
 
 

@@ -44,7 +44,7 @@ _LOADED: dict[tuple, Encoder] = {}
 class Encoder:
     """Encodes texts to ids. kind: "byte" or "word"; added: "text" or "ids", see above."""
 
-    def __init__(self, path: str, kind: str, added: str = "text") -> None:
+    def __init__(self, path: str, kind: str, added: str = "text", words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -54,7 +54,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = added == "text"
         with open(path, encoding="utf-8") as f:
             strings = [t["content"] for t in json.load(f).get("added_tokens", ()) if added == "ids" or not t["special"]]
-        self.added = "|".join(map(re.escape, strings))
+        self.added, self.most = "|".join(map(re.escape, strings)), words
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.blanks = kind == "byte"  # whether blanks and line feeds have ids
         # The same model for words that are split already, a line feed or blank between them, and asked for once.
@@ -84,7 +84,7 @@ class Encoder:
         ids = _gathered(self.flat, self.start[kept], sizes)
         words = [words[k] for k in kept.tolist()]
         self._reset()
-        if 2 * len(words) <= CACHE_WORDS and 2 * sum(map(len, words)) <= CACHE_CHARS:
+        if 2 * len(words) <= self.most and 2 * sum(map(len, words)) <= CACHE_CHARS:
             self.known = {w: k for k, w in enumerate(words)}
             self._enter(ids, sizes, 0)
             self.blocks[: len(words)] = 1
@@ -214,7 +214,7 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
-        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+        if len(self.known) > self.most or self.chars > CACHE_CHARS:
             self._forget()
         texts = pc.fill_null(texts, "")
         apart = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.blanks else " "), " ")
@@ -292,9 +292,9 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int, kind: np.dtype) ->
     return [whole[b:e] for b, e in zip([0, *stops], stops, strict=False)]
 
 
-def encoder(path: str, kind: str, added: str = "text") -> Encoder:
+def encoder(path: str, kind: str, added: str = "text", words: int = CACHE_WORDS) -> Encoder:
     """One encoder a worker process and file, so that its cache outlives a task."""
-    key = (path, kind, added)
+    key = (path, kind, added, words)
     if key not in _LOADED:
         _LOADED.clear()  # a worker that comes to another file gives up the memory of the last one
         _LOADED[key] = Encoder(*key)

@@ -241,8 +241,6 @@ def test_full_licence_texts():
     assert scan("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n") == "LGPL-3.0"
     assert scan("                                 Apache License\n                           Version 2.0, January 2004\n") == "Apache-2.0"
     assert scan("Mozilla Public License Version 2.0\n==================================\n") == "MPL-2.0"
-    long = "word " * 100 + "licensed under the MIT License and " + "more words " * 60
-    assert scan(long) == "MIT"
 
 
 def test_cosine_by_brute_force():
