@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rankloom.llm import mixing
+from rankloom.llm import asof, mixing
+from rankloom.llm.asof import op13_point_in_time
 from rankloom.llm.embeddings import op2_embedding_near_dedup
 from rankloom.llm.licenses import op9_license_scan
 from rankloom.llm.media import op3_media_columns
@@ -16,7 +17,7 @@ from rankloom.llm.toxicity import op10_toxicity
 
 _ALL = (
     op1_secret_scan, op2_embedding_near_dedup, op3_media_columns, op4_cost_balanced_packing, op5_token_files,
-    op6_simhash, op7_mixture, op8_quality, op9_license_scan, op10_toxicity,
+    op6_simhash, op7_mixture, op8_quality, op9_license_scan, op10_toxicity, op13_point_in_time,
 )
 
 
@@ -25,7 +26,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_embedding_near_dedup": EMBEDDINGS_SQL, "op7_mixture": mixing.ORACLE_SQL}
+    return {"op2_embedding_near_dedup": EMBEDDINGS_SQL, "op7_mixture": mixing.ORACLE_SQL, "op13_point_in_time": asof.ORACLE_SQL}
 
 
 #: All pairs, and each vector's reach by a recursive walk.
