@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import asof, mixing
+from rankloom.llm import asof, mixing, substrings
 from rankloom.llm.asof import op13_point_in_time
 from rankloom.llm.embeddings import op2_embedding_near_dedup
 from rankloom.llm.licenses import op9_license_scan
@@ -12,12 +12,14 @@ from rankloom.llm.packing import op4_cost_balanced_packing
 from rankloom.llm.quality import op8_quality
 from rankloom.llm.secrets import op1_secret_scan
 from rankloom.llm.simhash import op6_simhash
+from rankloom.llm.substrings import op12_substring_dedup
 from rankloom.llm.token_files import op5_token_files
 from rankloom.llm.toxicity import op10_toxicity
 
 _ALL = (
     op1_secret_scan, op2_embedding_near_dedup, op3_media_columns, op4_cost_balanced_packing, op5_token_files,
-    op6_simhash, op7_mixture, op8_quality, op9_license_scan, op10_toxicity, op13_point_in_time,
+    op6_simhash, op7_mixture, op8_quality, op9_license_scan, op10_toxicity,
+    op12_substring_dedup, op13_point_in_time,
 )
 
 
@@ -26,7 +28,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_embedding_near_dedup": EMBEDDINGS_SQL, "op7_mixture": mixing.ORACLE_SQL, "op13_point_in_time": asof.ORACLE_SQL}
+    return {"op2_embedding_near_dedup": EMBEDDINGS_SQL, "op7_mixture": mixing.ORACLE_SQL, "op12_substring_dedup": substrings.ORACLE_SQL, "op13_point_in_time": asof.ORACLE_SQL}
 
 
 #: All pairs, and each vector's reach by a recursive walk.
