@@ -9,6 +9,7 @@ from rankloom.llm.licenses import op9_license_scan
 from rankloom.llm.media import op3_media_columns
 from rankloom.llm.mixing import op7_mixture
 from rankloom.llm.packing import op4_cost_balanced_packing
+from rankloom.llm.periods import op11_periodic_runs
 from rankloom.llm.quality import op8_quality
 from rankloom.llm.secrets import op1_secret_scan
 from rankloom.llm.simhash import op6_simhash
@@ -19,7 +20,7 @@ from rankloom.llm.toxicity import op10_toxicity
 _ALL = (
     op1_secret_scan, op2_embedding_near_dedup, op3_media_columns, op4_cost_balanced_packing, op5_token_files,
     op6_simhash, op7_mixture, op8_quality, op9_license_scan, op10_toxicity,
-    op12_substring_dedup, op13_point_in_time,
+    op11_periodic_runs, op12_substring_dedup, op13_point_in_time,
 )
 
 
