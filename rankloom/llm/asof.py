@@ -8,9 +8,10 @@ each level's winners are pushed down to the level below, and the lowest level is
 Time is cut so that no table grows with the data: a node is a run of 2 ** BITS units of a tier, a tier's unit is a
 node of the tier below, and an interval lies in two nodes a tier at most (its ragged ends below, its whole units above).
 A cell (key, tier, node, level, place) keeps its best version only, combined on the map side, so a node has
-at most (BITS + 1) * 2 ** BITS rows, however many versions a hot key has. Questions go as distinct (key, t). Nodes are dealt
-out by a shuffle; a task works on many nodes at once and holds GROUP_ROWS of rows. Nothing is broadcast or collected
-but one number, the longest interval, which sets the number of tiers.
+at most (BITS + 1) * 2 ** BITS rows, however many versions a hot key has. Tiers are worked from the top: the winner of a unit
+that is asked for is pushed down as the cell that fills the unit's node in the tier below. Units are asked for once each, at the
+lowest tier as (key, t). Nodes are dealt out by a shuffle; a task works on many nodes at once and holds GROUP_ROWS of rows.
+Nothing is broadcast or collected but one number, the longest interval, which sets the number of tiers.
 
 Defined cases: a null key, start, stop or t matches nothing (the question stays, its winner is null); start >= stop holds nowhere;
 a null order column is the least;
@@ -50,7 +51,14 @@ def point_in_time(asks: DataFrame, versions: DataFrame, key: str, t: str, start:
     longest = held.agg(F.max(F.col("z") - F.col("a"))).first()[0] or 1
     tiers = max(int(longest).bit_length() - 1, 0) // bits + 1
     wanted = asks.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct()
-    found = _winners(_cells(held, tiers, bits), _places(wanted, tiers, bits), names, bits)
+    cells = _cells(held, tiers, bits)
+    cells = saved(cells, "cells") if tiers > 1 else cells
+    for k in reversed(range(tiers)):
+        mine = cells.where(F.col("tier") == k).drop("tier")
+        if k < tiers - 1:
+            mine = mine.unionByName(found.select("key", F.col("t").alias("node"), F.lit(bits).alias("level"), F.lit(0).alias("place"), F.col("winner").alias("v")))
+        units = wanted if k == 0 else wanted.select("key", F.shiftright("t", bits * k).alias("t")).distinct()
+        found = _winners(mine, units, names, bits)
     known = saved(found, "winners").select(F.col("key").alias(key), F.col("t").alias(t), "winner")  # so that a hot time of a key can be split in the join
     return asks.join(known, [key, t], "left")
 
@@ -74,18 +82,13 @@ def _cells(held: DataFrame, tiers: int, bits: int) -> DataFrame:
     return cells.groupBy("key", "tier", "node", "level", F.col("at").bitwiseAND((1 << bits) - 1).cast("int").alias("place")).agg(F.max("v").alias("v"))
 
 
-def _places(wanted: DataFrame, tiers: int, bits: int) -> DataFrame:
-    """(key, tier, node, place, t) of each question's unit in each tier."""
-    at = F.array(*[F.struct(F.lit(k).alias("tier"), F.shiftright("t", bits * (k + 1)).alias("node"), F.shiftright("t", bits * k).bitwiseAND((1 << bits) - 1).cast("int").alias("place")) for k in range(tiers)])
-    return wanted.select("key", "t", F.explode(at).alias("p")).select("key", "p.*", "t")
-
-
-def _winners(cells: DataFrame, places: DataFrame, names: list[str], bits: int) -> DataFrame:
-    """(key, t, winner) of the questions that have one."""
+def _winners(cells: DataFrame, units: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """(key, t, winner) of the units (key, t) of a tier that have one; cells: (key, node, level, place, v)."""
     v = cells.schema["v"].dataType
-    left = cells.select("key", "tier", "node", F.lit(_CELL).alias("kind"), "level", "place", F.lit(0).cast("long").alias("t"), "v.*")
-    right = places.select("key", "tier", "node", F.lit(_ASK).alias("kind"), F.lit(0).alias("level"), "place", "t", *[F.lit(None).cast(f.dataType).alias(f.name) for f in v.fields])
-    nodes = left.unionByName(right).repartition("key", "tier", "node").sortWithinPartitions("key", "tier", "node", "kind")
+    left = cells.select("key", "node", F.lit(_CELL).alias("kind"), "level", "place", F.lit(0).cast("long").alias("t"), "v.*")
+    place = F.col("t").bitwiseAND((1 << bits) - 1).cast("int")
+    right = units.select("key", F.shiftright("t", bits).alias("node"), F.lit(_ASK).alias("kind"), F.lit(0).alias("level"), place.alias("place"), "t", *[F.lit(None).cast(f.dataType).alias(f.name) for f in v.fields])
+    nodes = left.unionByName(right).repartition("key", "node").sortWithinPartitions("key", "node", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_nodes(batches):
@@ -93,16 +96,15 @@ def _winners(cells: DataFrame, places: DataFrame, names: list[str], bits: int) -
         released()
 
     arrow_batches(cells.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [places.schema["key"], places.schema["t"], *v.fields])
-    won = nodes.mapInArrow(run, fields)
-    return won.groupBy("key", "t").agg(F.max(F.struct(*[f"`{f.name}`" for f in v.fields])).alias("winner"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [units.schema["key"], units.schema["t"], *v.fields])
+    return nodes.mapInArrow(run, fields).select("key", "t", F.struct(*[f"`{f.name}`" for f in v.fields]).alias("winner"))
 
 
 def _changes(rows: pa.Table) -> np.ndarray:
     """Whether each row begins a node."""
     key = rows["key"].combine_chunks()
     key = key.dictionary_encode() if not isinstance(key, pa.DictionaryArray) else key
-    parts = (key.indices.to_numpy(zero_copy_only=False), rows["tier"].to_numpy(), rows["node"].to_numpy())
+    parts = (key.indices.to_numpy(zero_copy_only=False), rows["node"].to_numpy())
     begins = np.ones(rows.num_rows, dtype=bool)
     begins[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in parts])
     return begins
@@ -126,7 +128,7 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _indexed(rows: pa.Table, names: list[str], bits: int) -> pa.Table:
     """(key, t, the version's columns) of the questions among the rows of whole nodes that some version answers."""
     width = 1 << bits
-    out = rows.select([c for c in rows.column_names if c not in ("tier", "node", "kind", "level", "place")])
+    out = rows.select([c for c in rows.column_names if c not in ("node", "kind", "level", "place")])
     kind, node = rows["kind"].to_numpy(), np.cumsum(_changes(rows)) - 1
     cells, asked = np.flatnonzero(kind == _CELL), np.flatnonzero(kind == _ASK)
     if not len(cells) or not len(asked):
