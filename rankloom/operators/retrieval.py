@@ -7,101 +7,31 @@ it, which resolves ties) and text. `where` conditions hold for results only, nev
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import cosine, tokens
+from rankloom import storage
+from rankloom.functions.text import cosine
+from rankloom.operators import postings
+from rankloom.operators.postings import B, DECIMALS, EPSILON, K1, Bm25Index
 from rankloom.operators.vectors import best_cosines
 
 K, RRF_K, DEPTH = 5, 60, 4
-K1, B, EPSILON = 1.5, 0.75, 0.25
 STRATEGIES = ("bm25", "dense", "hybrid")
-#: Scores are compared at this many decimals, so that the order of float sums doesn't decide ties.
-DECIMALS = 6
-
-
-#: Rows that a side may have to be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
 #: Bytes of query vectors that may go to each task; beyond it dense scores are joined, not multiplied.
 QUERY_BYTES = 64 << 20
 
 
-@dataclass(frozen=True)
-class Bm25Index:
-    chunks: DataFrame  # scope, key, other columns
-    rows: DataFrame  # scope, key, dl, terms (all words)
-    terms: DataFrame  # scope, term, df, idf
-    stats: DataFrame  # scope, n, avgdl
-    scopes: int  # how many there are, BROADCAST_ROWS + 1 for more
-
-    @property
-    def postings(self) -> DataFrame:
-        """scope, key, term, tf"""
-        return _frequencies(_words(self.rows).where("term IS NOT NULL")).drop("dl")
-
-    @property
-    def lengths(self) -> DataFrame:
-        return self.rows.select("scope", "key", "dl")
-
-
-def _words(rows: DataFrame) -> DataFrame:
-    """A row a word. Outer, since Spark would split texts twice to drop rows without words before an inner explode."""
-    return rows.select("scope", "key", "dl", F.explode_outer("terms").alias("term"))
-
-
-def _frequencies(words: DataFrame) -> DataFrame:
-    return words.groupBy("scope", "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has few rows at most, as bounded by the caller; else df, which joins then shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def bm25_index(chunks: DataFrame, scope: str = "scope", key: str = "key", text: str = "text", epsilon: float = EPSILON) -> Bm25Index:
-    """Okapi statistics by scope. A term in over half of the chunks gets epsilon times the mean idf of all terms.
-
-    Terms are counted once a chunk, combined on the map side; the same exchange gives the number and mean length of chunks,
-    which the empty term stands for. No posting is shuffled here.
-    """
-    rows = chunks.select(F.col(scope).alias("scope"), F.col(key).alias("key"), tokens(text).alias("terms"))
-    rows = rows.select("scope", "key", F.size("terms").alias("dl"), "terms")
-    scopes = rows.select("scope").distinct().limit(BROADCAST_ROWS + 1).count()  # reads no text
-    marked = rows.select("scope", "dl", F.explode_outer(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).where("term IS NOT NULL")
-    counts = marked.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dls"))
-    whole = F.col("dls").isNotNull()
-    stats = counts.groupBy("scope").agg(F.sum(F.when(whole, F.col("df"))).alias("n"), F.sum("dls").alias("dls"))
-    stats = stats.select("scope", "n", (F.col("dls") / F.col("n")).alias("avgdl"))
-    raw = counts.join(small(stats, scopes), "scope").withColumn("raw", F.when(~whole, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    terms = raw.where("raw IS NOT NULL").join(small(mean, scopes), "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), rows, terms, stats, scopes)
-
-
-def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
-    """(query_id, term, qtf), and scope if queries have one; repeated words count repeatedly."""
-    scope = [c for c in ("scope",) if c in queries.columns]
-    exploded = queries.select(F.col(query_id).alias("query_id"), *scope, F.explode(tokens(question)).alias("term"))
-    return exploded.groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("qtf"))
+def bm25_index(chunks: DataFrame, scope: str = "scope", key: str = "key", text: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Bm25Index:
+    """The Okapi index of chunks, written to path (or to the shared folder); see postings.py. postings.opened() reads one that is there."""
+    return postings.build(chunks, path or storage.fresh_path(chunks.sparkSession, "bm25"), scope, key, text, epsilon)
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, scope, key, score); queries with a scope column are scored in that scope only.
-
-    A chunk's words are cut down to the queries' before anything is shuffled; few query terms are broadcast with their statistics.
-    """
-    q = query_terms(queries)
-    on = ["scope", "term"] if "scope" in q.columns else ["term"]
-    n = q.limit(BROADCAST_ROWS + 1).count()
-    most = n if "scope" in q.columns else n * max(index.scopes, 1)
-    asked = _words(index.rows).join(small(q.select(*on).distinct(), n), on, "left_semi")
-    wanted = index.terms.join(small(q, n), on).join(small(index.stats.select("scope", "avgdl"), index.scopes), "scope").drop("df")
-    hits = _frequencies(asked).join(small(wanted, most), ["scope", "term"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "scope", "key").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    """(query_id, scope, key, score) of all chunks that have a term; queries with a scope column are scored in that scope only."""
+    return postings.Search(index, queries, k1, b).scores()
 
 
 def in_section(part: str, section: str = "section") -> Column:
@@ -116,11 +46,8 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "scope"))
 
 
 def search_bm25(index: Bm25Index, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
-    """(query_id, scope, key, score, rank): positive scores only; `where` on chunk columns after scoring."""
-    scored = bm25_scores(index, queries).where("score > 0")
-    if where is not None:
-        scored = scored.join(index.chunks.where(where).select("scope", "key"), ["scope", "key"], "left_semi")
-    return top(scored, k)
+    """(query_id, scope, key, score, rank): positive scores only; `where` on chunk columns after scoring. Blocks that can't matter are skipped."""
+    return top(postings.Search(index, queries).best(k, where), k)
 
 
 def search_dense(chunks: DataFrame, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
