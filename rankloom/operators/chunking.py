@@ -1,16 +1,30 @@
-"""Chunking along section structure by higher-order functions within the row; no Python workers, no shuffle."""
+"""Chunking along section structure, by Arrow functions within the row: offsets of headers and paragraphs, then one step a piece.
+
+Headers and paragraphs are found by one pass of a pattern over a text. Greedy packing goes over prefix sums of the
+paragraphs' lengths: where a piece ends is found by bisection, so that a text costs time in proportion to its length and
+pieces, however many paragraphs it has. Nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from bisect import bisect_right
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import slug, strip
+from rankloom.functions.text import slug
 
 MAX_CHARS, OVERLAP = 800, 100
-_HEADER = r"^(#{1,6})(?U:\s+)(.*)$"
+_HEADER = re.compile(r"^(#{1,6})[^\S\n]+(.*)$", re.M)
+_GAP = re.compile(r"\n\s*\n")
+#: Rows of a batch that become Python strings at once.
+_ROWS = 64
+_BLOCKS = pa.list_(pa.struct([("block", pa.int32()), ("section", pa.string()), ("body", pa.string())]))
+_PIECES = pa.list_(pa.struct([("section", pa.string()), ("text", pa.string())]))
+_TEXTS = pa.list_(pa.string())
 
 
 def checked(max_chars: int, overlap: int) -> None:
@@ -18,47 +32,77 @@ def checked(max_chars: int, overlap: int) -> None:
         raise ValueError("chunking needs 0 <= overlap < max_chars")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _level(line: Column) -> Column:
-    return F.when(F.startswith(line, F.lit("#")), F.length(F.regexp_extract(line, _HEADER, 1))).otherwise(0)
-
-
-def blocks(text: Column) -> Column:
-    """array<struct(block, section, body)> of a text's header blocks that aren't empty.
+def sections_of(text: str) -> list[tuple[int, str, str]]:
+    """(block, section, body) of a text's header blocks that aren't empty.
 
-    A level-1 header is dropped and starts nothing. A level-2 header, or the first deeper one before any,
-    is a root; deeper ones are its children.
+    A level-1 header is dropped and starts nothing. A level-2 header, or the first deeper one before any, is a root;
+    deeper ones are its children. Blocks are numbered by their header, from 1; 0 is what stands before any.
     """
-    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _level(x).alias("level")))
-    return let(marked, lambda lines: let(_begins(lines), lambda begins: let(_roots(begins), lambda roots: _cut(lines, begins, roots))))
-
-
-def _begins(lines: Column) -> Column:
-    """Where blocks begin: the text's beginning (0), and each deep header."""
-    title = lambda x: F.when(x["level"] >= 2, strip(F.regexp_extract(x["line"], _HEADER, 2)))
-    placed = F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), x["level"].alias("level"), title(x).alias("title")))
-    return F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit("").alias("title"))), F.filter(placed, lambda x: x["level"] >= 2))
-
+    out, lines, root, section, block, at = [], [], None, "Document", 0, 0
+
+    def close(end: int) -> None:
+        if at <= end:  # else not even an empty line is between two headers
+            lines.append(text[at:end])
+        if body := "\n".join(lines).strip():
+            out.append((block, section, body))
+
+    for header in _HEADER.finditer(text):
+        level = header.end(1) - header.start(1)
+        if level == 1:
+            if at < header.start():
+                lines.append(text[at : header.start() - 1])
+        else:
+            close(header.start() - 1)
+            title, lines, block = header[2].strip(), [], block + 1
+            if level == 2 or root is None:
+                root = section = title
+            else:
+                section = f"{root} > {title}"
+        at = header.end() + 1
+    close(len(text))
+    return out
+
+
+def windows_of(text: str, max_chars: int, overlap: int) -> list[str]:
+    """Windows of max_chars with an overlap while more than max_chars are left; the rest is the last piece."""
+    step = max_chars - overlap
+    n = max(0, -(-(len(text) - max_chars) // step))
+    return [*(text[i * step : i * step + max_chars] for i in range(n)), text[n * step :]]
+
+
+def pieces_of(body: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
+    """Paragraphs of an oversized body packed greedily (two more characters count for each); one that is too long is cut into windows."""
+    if len(body) <= max_chars:
+        return [body]
+    parts = [p for p in (x.strip() for x in _GAP.split(body)) if p]
+    sums = [0, *accumulate(len(p) + 2 for p in parts)]  # of the paragraphs before each
+    out, at = [], 0
+    while at < len(parts):
+        *cut, rest = windows_of(parts[at], max_chars, overlap) if len(parts[at]) > max_chars else [parts[at]]
+        out += cut
+        if cut and at + 1 < len(parts) and len(rest) + len(parts[at + 1]) + 2 <= max_chars:
+            rest = rest.lstrip()  # only what is packed with more loses the blanks that a window left
+        end = bisect_right(sums, max_chars - len(rest) + sums[at + 1], lo=at + 1) - 1
+        out.append("\n\n".join([rest, *parts[at + 1 : end]]) if end > at + 1 else rest)
+        at = max(end, at + 1)
+    return out
+
+
+def _mapped(column: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    """f of each text (null: null), some rows at a time."""
+    texts = lambda at: column.slice(at, _ROWS).to_pylist()
+    done = [pa.array([None if x is None else f(x) for x in texts(at)], type=kind) for at in range(0, len(column), _ROWS)]
+    return pa.concat_arrays(done) if done else pa.array([], type=kind)
 
-def _roots(begins: Column) -> Column:
-    """The number of each block's root: the last level-2 header up to it, the first header before there is one."""
-    own = lambda roots, x: (x["level"] == 2) | (F.size(roots) <= 1)
-    return F.aggregate(begins, F.array().cast("array<int>"), lambda roots, x: F.array_append(roots, F.when(own(roots, x), F.size(roots)).otherwise(F.element_at(roots, -1))))
 
+def blocks(text: Column) -> Column:
+    """array<struct(block, section, body)> of a text; see sections_of()."""
 
-def _cut(lines: Column, begins: Column, roots: Column) -> Column:
-    def one(x: Column, n: Column) -> Column:
-        stop = F.when(n + 1 < F.size(begins), F.get(begins, n + 1)["at"] - 1).otherwise(F.size(lines))
-        inside = F.filter(F.slice(lines, x["at"] + 1, stop - x["at"]), lambda y: y["level"] == 0)
-        root = F.get(roots, n)
-        path = F.when(n == 0, F.lit("Document")).when(root == n, x["title"]).otherwise(F.concat_ws(" > ", F.get(begins, root)["title"], x["title"]))
-        return F.struct(n.alias("block"), path.alias("section"), strip(F.array_join(F.transform(inside, lambda y: y["line"]), "\n")).alias("body"))
+    @F.arrow_udf("array<struct<block: int, section: string, body: string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _mapped(texts, lambda x: [{"block": n, "section": s, "body": b} for n, s, b in sections_of(x)], _BLOCKS)
 
-    return F.filter(F.transform(begins, one), lambda x: x["body"] != "")
+    return cut(text)
 
 
 def header_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,35 +111,36 @@ def header_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def hard_pieces(text: Column, max_chars: int, overlap: int) -> Column:
-    """Windows of max_chars with an overlap while more than max_chars are left; the rest is the last piece."""
-    step = max_chars - overlap
-    n = F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / F.lit(step))).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.substring(text, i * step + 1, F.lit(max_chars))).otherwise(F.substring(text, n * step + 1, F.length(text))))
+    """array<string>; see windows_of()."""
+    checked(max_chars, overlap)
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _mapped(texts, lambda x: windows_of(x, max_chars, overlap), _TEXTS)
+
+    return cut(text)
 
 
 def pieces(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """Pieces of a block: paragraphs packed greedily, an oversized one cut with an overlap."""
+    """array<string>; see pieces_of()."""
     checked(max_chars, overlap)
-    paragraphs = F.filter(F.transform(F.split(body, r"\n(?U:\s*)\n"), strip), lambda p: p != "")
 
-    def add(acc: Column, p: Column) -> Column:
-        now, out = acc["now"], acc["out"]
-        fits = F.length(now) + F.length(p) + 2 <= max_chars
-        flushed = F.when(now == "", out).otherwise(F.array_append(out, now))
-        return F.when(fits, F.struct(out.alias("out"), F.when(now == "", p).otherwise(strip(F.concat(now, F.lit("\n\n"), p))).alias("now"))).otherwise(
-            let(hard_pieces(p, max_chars, overlap), lambda cut: F.struct(F.concat(flushed, F.slice(cut, 1, F.size(cut) - 1)).alias("out"), F.element_at(cut, -1).alias("now")))
-        )
+    @F.arrow_udf("array<string>")
+    def cut(bodies: pa.Array) -> pa.Array:
+        return _mapped(bodies, lambda x: pieces_of(x, max_chars, overlap), _TEXTS)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    packed = F.aggregate(paragraphs, start, add, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.array_append(a["out"], a["now"])))
-    return F.when(F.length(body) <= max_chars, F.array(body)).otherwise(packed)
+    return cut(body)
 
 
 def chunks(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(chunk_id, doc_id, chunk_ix, section, text); chunk_ix counts from 1 over a row. Nothing is shuffled."""
     checked(max_chars, overlap)
-    cut = F.flatten(F.transform(blocks(F.col(text_col)), lambda x: F.transform(pieces(x["body"], max_chars, overlap), lambda piece: F.struct(x["section"].alias("section"), piece.alias("text")))))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("pos", "piece"))
+
+    @F.arrow_udf("array<struct<section: string, text: string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _mapped(texts, lambda x: [{"section": section, "text": piece} for _, section, body in sections_of(x) for piece in pieces_of(body, max_chars, overlap)], _PIECES)
+
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(F.col(text_col))).alias("pos", "piece"))
     rows = rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_ix"), "piece.section", "piece.text")
     chunk_id = F.concat_ws("-", F.col("doc_id").cast("string"), slug("section"), F.col("chunk_ix").cast("string"))
     return rows.select(chunk_id.alias("chunk_id"), "doc_id", "chunk_ix", "section", "text")

@@ -73,9 +73,24 @@ def chunk_markdown_blocks(spark, d):
     return chunking.header_blocks(_markdown(spark, d)).select("doc_id", F.col("block").cast("long").alias("block"), "section", F.length("body").cast("long").alias("n_chars"), T.text_hash("body").alias("h"))
 
 
-@R.add()
+#: Packing is a fold over paragraphs: a recursive step takes one more paragraph of each oversized block.
+_SQL_PIECES = f"""
+parts AS (SELECT doc_id, block, section, body, CASE WHEN length(body) > {_MAX} THEN list_filter(list_transform(string_split_regex(body, chr(10) || '\\s*' || chr(10)), lambda p: {strip("p")}), lambda p: p <> '') END AS ps FROM blocks WHERE body <> ''),
+fold AS (
+  SELECT doc_id, block, ps, 0 AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM parts WHERE ps IS NOT NULL
+  UNION ALL
+  SELECT doc_id, block, ps, i + 1, CASE WHEN fits THEN CASE WHEN cur = '' THEN p ELSE {strip("cur || chr(10) || chr(10) || p")} END ELSE substr(p, n * {_STEP} + 1) END,
+    CASE WHEN fits THEN done ELSE done || CASE WHEN cur = '' THEN CAST([] AS VARCHAR[]) ELSE [cur] END || list_transform(range(n), lambda w: substr(p, w * {_STEP} + 1, {_MAX})) END
+  FROM (SELECT *, ps[i + 1] AS p, length(cur) + length(ps[i + 1]) + 2 <= {_MAX} AS fits, CAST(greatest(0, ceil((length(ps[i + 1]) - {_MAX}) / {_STEP})) AS BIGINT) AS n FROM fold WHERE i < len(ps))),
+packed AS (SELECT doc_id, block, CASE WHEN cur = '' THEN done ELSE done || [cur] END AS cut FROM fold WHERE i = len(ps)),
+cut AS (SELECT doc_id, block, section, coalesce(cut, [body]) AS cut FROM parts LEFT JOIN packed USING (doc_id, block)),
+each AS (SELECT doc_id, block, section, generate_subscripts(cut, 1) AS nth, unnest(cut) AS text FROM cut),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block, nth) AS chunk_ix FROM each)"""
+_SQL_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(section), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'root')"
+
+
+@R.add(f"WITH RECURSIVE {_SQL_BLOCKS}, {_SQL_PIECES} SELECT doc_id || '-' || {_SQL_SLUG} || '-' || chunk_ix AS chunk_id, doc_id, chunk_ix, section, length(text) AS n_chars, sha256(text) AS h FROM pieces")
 def chunk_pack(spark, d):
-    """Greedy packing is sequential; tests hold it against a loop."""
     return chunking.chunks(_markdown(spark, d)).select("chunk_id", "doc_id", "chunk_ix", "section", F.length("text").cast("long").alias("n_chars"), T.text_hash("text").alias("h"))
 
 
