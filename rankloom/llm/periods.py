@@ -137,7 +137,7 @@ def _dealt(long: DataFrame, least: int, range_bytes: int) -> DataFrame:
             ids = ids_of(text.split())
             yield batch(out, [[digest], [part], [_dicts(runs_of(ids, *lags(len(ids), part, parts), least))]])
 
-    size = F.octet_length("text")
+    size = F.octet_length("text").cast("double")
     parts = F.greatest(F.lit(1), F.least(F.ceil(size * size / (LONG * LONG)), F.ceil(size / range_bytes))).cast("int")
     texts = long.groupBy("digest").agg(F.first("text").alias("text")).withColumn("parts", parts)
     units = texts.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "text").repartition("digest", "part")
