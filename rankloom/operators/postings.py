@@ -104,9 +104,12 @@ def build(chunks: DataFrame, path: str, scope: str = "scope", key: str = "key",
 def opened(chunks: DataFrame, path: str, scope: str = "scope", key: str = "key") -> Bm25Index:
     """The index that build() wrote to path; chunks are asked for conditions on results only."""
     spark: SparkSession = chunks.sparkSession
-    stats = spark.read.parquet(f"{path}/stats")
+    s, k = (chunks.schema[c].dataType.simpleString() for c in (scope, key))
+    blocks = spark.read.schema(f"bucket int, scope {s}, term string, block long, n long, dls long, max_tf int, min_dl int, postings array<struct<key: {k}, tf: int, dl: int>>").parquet(f"{path}/postings")
+    terms = spark.read.schema(f"bucket int, scope {s}, term string, df long, idf double, avgdl double").parquet(f"{path}/terms")
+    stats = spark.read.schema(f"scope {s}, n long, avgdl double").parquet(f"{path}/stats")
     largest = stats.agg(F.max("n")).first()[0] or 0
-    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats, stats.limit(BROADCAST_ROWS + 1).count(), largest, path)
+    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), blocks, terms, stats, stats.limit(BROADCAST_ROWS + 1).count(), largest, path)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:

@@ -13,14 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import storage
-from rankloom.functions.text import cosine
-from rankloom.operators import postings
+from rankloom.operators import postings, vectors
 from rankloom.operators.postings import B, DECIMALS, EPSILON, K1, Bm25Index
-from rankloom.operators.vectors import best_cosines
 
 K, RRF_K, DEPTH = 5, 60, 4
 STRATEGIES = ("bm25", "dense", "hybrid")
-#: Bytes of query vectors that may go to each task; beyond it dense scores are joined, not multiplied.
+#: Bytes of query vectors that may go to each task; beyond it they meet chunks in tiles.
 QUERY_BYTES = 64 << 20
 
 
@@ -53,27 +51,23 @@ def search_bm25(index: Bm25Index, queries: DataFrame, k: int = K, where: Column
 def search_dense(chunks: DataFrame, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
     """Exact cosine ranking of chunks (scope, key, vector) for queries (query_id, vector[, scope]); nothing is dropped.
 
-    Queries are a stated, small set: up to QUERY_BYTES of them go to each task as one matrix of unit rows, which is multiplied
-    with batches of chunks where these lie; a task keeps its k best a query, so that only these are shuffled. More
-    queries are joined by scope (or all with all, which is the operator itself). A null vector, or one whose
-    length differs from a query's, counts as a zero vector.
+    Up to QUERY_BYTES of queries go to each task as one matrix of unit rows, which is multiplied with batches of chunks where
+    these lie; a task keeps its k best a query, so that only these are shuffled. More queries meet chunks in tiles: see
+    vectors.tiled(). A null vector, or one whose length differs from a query's, counts as a zero vector.
     """
     kept = chunks if where is None else chunks.where(where)
     scoped = "scope" in queries.columns
-    size = queries.agg(F.sum(F.coalesce(F.size("vector"), F.lit(0)) * 8 + 64)).first()[0] or 0
-    if size > QUERY_BYTES:
-        q = queries.withColumnRenamed("vector", "q_vector")
-        pairs = kept.join(q, "scope") if scoped else kept.crossJoin(q)
-        return top(pairs.select("query_id", "scope", "key", F.round(cosine(F.col("vector"), F.col("q_vector")), DECIMALS).alias("score")), k)
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *(["scope"] if scoped else [])).collect()  # QUERY_BYTES at most
-    shared = kept.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *(["scope"] if scoped else []))
+    rows = kept.select("scope", "key", F.col("vector").cast("array<double>").alias("vector"))
     kinds = {"query_id": queries.schema["query_id"].dataType, "scope": kept.schema["scope"].dataType, "key": kept.schema["key"].dataType}
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
+    if (asked.agg(F.sum(vectors.vector_bytes("vector"))).first()[0] or 0) > QUERY_BYTES:
+        return top(vectors.tiled(rows.where("scope IS NOT NULL"), asked, k, schema), k)
+    shared = kept.sparkSession.sparkContext.broadcast(vectors.query_rows(asked.toArrow()))  # QUERY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return best_cosines(batches, shared.value, scoped, k)
+        return vectors.best_cosines(batches, shared.value, scoped, k)
 
-    rows = kept.select("scope", "key", F.col("vector").cast("array<double>").alias("vector"))
     return top(rows.mapInArrow(run, schema), k)
 
 
@@ -100,8 +94,8 @@ def search(strategy: str, index: Bm25Index, chunks: DataFrame | None, queries: D
     if chunks is None:
         dense = search_bm25(index, words, 1).where("false")
     else:
-        vectors = queries.select("query_id", "vector", *[c for c in ("scope",) if c in queries.columns])
-        dense = search_dense(chunks, vectors, depth, where)
+        asked = queries.select("query_id", "vector", *[c for c in ("scope",) if c in queries.columns])
+        dense = search_dense(chunks, asked, depth, where)
     if strategy == "dense":
         return dense
     return fuse(lexical, dense, k).select("query_id", "scope", "key", "score", "rank")

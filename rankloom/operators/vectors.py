@@ -1,4 +1,8 @@
-"""Blocks of cosine products on executors: batches of vectors against a matrix of queries."""
+"""Blocks of cosine products on executors: batches of vectors against a matrix of queries, or tiles of both sides.
+
+Tiles: queries and chunks are dealt by hash into parts of bounded bytes, and each pair of a tile of queries and a part of
+chunks is a group of its own: a grid, not a product of rows. A group hands on its k best rows a query.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DECIMALS = 6
+#: Bytes of query vectors of a tile, and of chunk vectors of a part.
+TILE_BYTES, PART_BYTES = 16 << 20, 64 << 20
 #: k up to which a task holds its best rows to its end; above, it hands on all rows.
 LOCAL_K = 1000
 #: Rows of chunks in one product.
@@ -21,7 +29,7 @@ def unit_rows(vectors: list, size: int) -> np.ndarray:
     out = np.zeros((len(vectors), size))
     for n, v in enumerate(vectors):
         if v is not None and len(v) == size:
-            out[n] = [0.0 if x is None else x for x in v]
+            out[n] = v if isinstance(v, np.ndarray) else [0.0 if x is None else x for x in v]
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -35,6 +43,48 @@ def _matrix(vectors: pa.ListArray, size: int) -> np.ndarray:
     return unit_rows(vectors.to_pylist(), size)
 
 
+def query_rows(rows: pa.Table) -> list[tuple]:
+    """(query_id, vector, scope) of a table with these columns; vectors as slices of one array, null elements as 0, null vectors as None."""
+    vectors = rows["vector"].combine_chunks()
+    flat = pc.fill_null(vectors.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()).tolist()
+    known = vectors.is_valid().to_pylist()
+    cut = [flat[a:b] if ok else None for a, b, ok in zip([0, *ends], ends, known, strict=False)]
+    return list(zip(rows["query_id"].to_pylist(), cut, rows["scope"].to_pylist() if "scope" in rows.column_names else [None] * len(cut), strict=True))
+
+
+def vector_bytes(vector: str) -> Column:
+    return F.coalesce(F.size(vector), F.lit(0)) * 8 + 64
+
+
+def tiled(chunks: DataFrame, queries: DataFrame, k: int, schema: str, tile_bytes: int | None = None, part_bytes: int | None = None) -> DataFrame:
+    """(query_id, scope, key, score) of the k best rows of each group of a tile of queries and a part of chunks.
+
+    chunks: (scope, key, vector); queries: (query_id, vector[, scope]): with a scope they meet its chunks only. Vectors are arrays of doubles.
+    """
+    scoped = "scope" in queries.columns
+    by = ["scope"] if scoped else []
+    parts = lambda df, n, most: df.groupBy(*by).agg(F.greatest(F.ceil(F.sum(vector_bytes("vector")) / most), F.lit(1)).cast("int").alias(n))
+    tiles, shares = parts(queries, "tiles", tile_bytes or TILE_BYTES), parts(chunks, "parts", part_bytes or PART_BYTES)
+    if scoped:  # a row a scope that both sides have
+        grid = tiles.join(shares, "scope")
+        q, c = queries.join(grid, "scope"), chunks.join(grid, "scope")
+    else:
+        n, m = tiles.first()[0], shares.first()[0]
+        q, c = (df.withColumns({"tiles": F.lit(n), "parts": F.lit(m)}) for df in (queries, chunks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.withColumn("tile", F.pmod(F.xxhash64("query_id"), "tiles").cast("int")).withColumn("part", every("parts")).drop("tiles", "parts")
+    c = c.withColumn("part", F.pmod(F.xxhash64("scope", "key"), "parts").cast("int")).withColumn("tile", every("tiles")).drop("tiles", "parts")
+    on = [*by, "tile", "part"]
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = best_cosines(iter(rows.select(["scope", "key", "vector"]).to_batches()), query_rows(asked), scoped, k) if asked.num_rows and rows.num_rows else iter(())
+        ids = pa.schema([asked.schema.field("query_id"), rows.schema.field("scope"), rows.schema.field("key"), pa.field("score", pa.float64())])
+        return pa.Table.from_batches([b.cast(ids) for b in found], schema=ids)
+
+    return q.groupBy(*on).cogroup(c.groupBy(*on)).applyInArrow(run, schema)
+
+
 def rounded(x: np.ndarray) -> np.ndarray:
     """At DECIMALS decimals, halves away from zero."""
     scale = 10.0**DECIMALS
@@ -59,7 +109,7 @@ def best_cosines(batches: Iterator[pa.RecordBatch], queries: list[tuple], scoped
     """
     groups: dict[tuple, list[tuple]] = defaultdict(list)  # by size, and scope if queries have one
     for q in queries:
-        groups[len(q[1] or ()), q[2] if scoped else None].append(q)
+        groups[0 if q[1] is None else len(q[1]), q[2] if scoped else None].append(q)
     matrices = {g: unit_rows([q[1] for q in qs], g[0]) for g, qs in groups.items()}
     held: dict[tuple, tuple[np.ndarray, list]] = {}  # by query and scope: best scores and their keys
     schema = None
