@@ -7,9 +7,11 @@ directory's name.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import parsed_json
+
 QUERY_FIELDS = "id: string, question: string, expected_spans: array<struct<section: string, quote: string>>, rationale: string"
 
 
@@ -100,13 +102,15 @@ def field_spec(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, pattern: str) -> DataFrame:
+def runs(spark: SparkSession, pattern: str, seen: Observation | None = None) -> DataFrame:
     """Long rows (model, created_at, doc_id, field, value VARIANT, error, error_type) of run files.
 
     Files that are no JSON objects with a model are skipped; a document whose call failed has one row
-    with a null field and its error.
+    with a null field and its error. seen gets the numbers of `files` and of those `skipped` when the result is read.
     """
-    parsed = _whole(spark, pattern).select(F.from_json("text", "struct<model: string, created_at: string, extractions: map<string, map<string, variant>>>").alias("r")).where(F.col("r.model").isNotNull())
+    whole = _whole(spark, pattern).select(F.from_json("text", "struct<model: string, created_at: string, extractions: map<string, map<string, variant>>>").alias("r"))
+    good = F.coalesce(F.col("r.model").isNotNull(), F.lit(False))
+    parsed = _observed(whole, seen, "files", good).where(good)
     docs = parsed.select("r.model", F.try_to_timestamp("r.created_at").alias("created_at"), F.explode("r.extractions").alias("doc_id", "entries"))
     text = lambda k: F.try_variant_get(F.try_element_at("entries", F.lit(k)), "$", "string")
     rows = docs.select("model", "created_at", "doc_id", text("_error").alias("error"), text("_error_type").alias("error_type"), F.explode_outer(F.map_filter("entries", lambda k, v: ~k.isin("_error", "_error_type"))).alias("field", "value"))
@@ -119,8 +123,44 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("model", "b.*")
 
 
-def embedding_cache(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """(model, h, v) of JSON lines {"h", "v"}; bad lines are skipped, of several for a text the last holds."""
-    lines = _whole(spark, path).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = lines.select("path", "pos", F.from_json("line", "struct<h: string, v: array<double>>").alias("r")).where("r.h IS NOT NULL AND r.v IS NOT NULL")
+def embedding_cache(spark: SparkSession, path: str, model: str, seen: Observation | None = None) -> DataFrame:
+    """(model, h, v) of JSON lines {"model", "h", "v"} of a model; of several for a text the last holds.
+
+    Lines without a model, as other tools write them, are taken for the model that is asked for. Bad lines are skipped; seen
+    gets the numbers of `lines` (but for empty ones) and of those `skipped` when the result is read.
+    """
+    lines = _whole(spark, path).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    rows = lines.select("path", "pos", F.from_json("line", "struct<model: string, h: string, v: array<double>>").alias("r"))
+    good = F.coalesce(F.col("r.h").isNotNull() & F.col("r.v").isNotNull(), F.lit(False))
+    rows = _observed(rows, seen, "lines", good).where(good).where(F.coalesce("r.model", F.lit(model)) == model)
     return rows.groupBy(F.col("r.h").alias("h")).agg(F.max_by("r.v", F.struct("path", "pos")).alias("v")).select(F.lit(model).alias("model"), "h", "v")
+
+
+def _observed(rows: DataFrame, seen: Observation | None, name: str, good: Column) -> DataFrame:
+    """rows, with their number and that of those that aren't good counted on the way."""
+    return rows if seen is None else rows.observe(seen, F.count(F.lit(1)).alias(name), F.count_if(~good).alias("skipped"))
+
+
+def artifact_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, name, text) of a viewer's text files; no rows if nothing is there."""
+    return _whole(spark, pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "text")
+
+
+def artifact_values(spark: SparkSession, pattern: str, seen: Observation | None = None) -> DataFrame:
+    """(path, name, value VARIANT) of a viewer's JSON files: null for one that is no JSON; no rows if nothing is there.
+
+    seen gets the numbers of `files` and of those that are `skipped` (null) when the result is read.
+    """
+    rows = artifact_texts(spark, pattern).select("path", "name", parsed_json("text").alias("value"))
+    return _observed(rows, seen, "files", F.col("value").isNotNull())
+
+
+def artifact_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files that match, in order; none if the folder isn't there. Contents aren't read."""
+    try:
+        files = spark.read.format("binaryFile").load(pattern).select("path")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [r.name for r in files.select(F.element_at(F.split("path", "/"), -1).alias("name")).orderBy("name").collect()]

@@ -33,8 +33,8 @@ def load_runs(spark, path: str) -> DataFrame:
 
 
 def append_cache(new: DataFrame, path: str) -> None:
-    """Append vectors of texts that the cache missed, as lines {"h", "v"}, which readers.embedding_cache() reads back."""
-    new.where("v IS NOT NULL").select("h", "v").write.mode("append").json(path)
+    """Append vectors of texts that the cache missed, as lines {"model", "h", "v"}, which readers.embedding_cache() reads back."""
+    new.where("v IS NOT NULL").select("model", "h", "v").write.mode("append").json(path)
 
 
 def save_baseline(current: DataFrame, stale: DataFrame, path: str) -> bool:

@@ -44,11 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename source to target, replacing what is there."""
-    (a, fs), (b, _) = _at(spark, source), _at(spark, target)
-    fs.delete(b, True)
+    (a, fs), (b, _), (old, _) = _at(spark, source), _at(spark, target), _at(spark, f"{target}-replaced-{uuid.uuid4().hex}")
     fs.mkdirs(b.getParent())
+    if fs.exists(b) and not fs.rename(b, old):
+        raise OSError(f"could not rename {target}")
     if not fs.rename(a, b):
-        raise OSError(f"could not rename {source} to {target}")
+        raise OSError(f"could not rename {source} to {target}; what was there is at {old}")
+    fs.delete(old, True)
 
 
 def stored(df: DataFrame, path: str, *by: str) -> DataFrame:
