@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -91,10 +92,18 @@ class Chunk:
             place[start:end] = np.fromiter(map(known.__getitem__, words), np.int32, end - start)
         both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), dtype="<u8").reshape(-1, 2)
         self.place, self.both = place, both
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
 
     def hashes(self, k: int, half: int = 0) -> np.ndarray:
         """A half of the hashes of the runs of k words from each word on; those that leave a document are there too."""
-        return rolled(self.both[self.place, half], k)
+        if (k, half) not in self.kept:
+            self.kept[k, half] = rolled(np.ascontiguousarray(self.both[:, half])[self.place], k)
+        return self.kept[k, half]
+
+    def names(self, k: int, at: np.ndarray) -> np.ndarray:
+        """128-bit hashes of the runs of k words at some places, as two columns, of the hashes of their halves."""
+        first = k // 2
+        return np.stack([paired(self.hashes(first, half)[at], self.hashes(k - first, half)[at + first]) for half in (0, 1)], axis=1)
 
     def whole(self, k: int) -> np.ndarray:
         """Whether the run of k words from each word on stays in its document."""
@@ -115,7 +124,7 @@ class Chunk:
         np.add.at(edge, np.maximum(hit - (window - block), 0), 1)
         np.add.at(edge, hit + 1, -1)
         near = np.flatnonzero((np.cumsum(edge)[: max(self.n - window + 1, 0)] > 0) & self.whole(window))
-        return near, np.stack([self.hashes(window, 0)[near], self.hashes(window, 1)[near]], axis=1)
+        return near, self.names(window, near)
 
     def originals(self, near: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(order of candidates by name and place, number of each one's name in it, doc_id and start by candidate)."""
@@ -129,9 +138,13 @@ class Chunk:
 
 def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which keys are in the sorted array wanted."""
-    if not len(wanted):
-        return np.zeros(len(keys), dtype=bool)
-    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+    found = np.zeros(len(keys), dtype=bool)
+    if len(wanted):
+        some = np.zeros(1 << 20, dtype=bool)  # by the upper 20 of 48 bits: most keys are out at once
+        some[(wanted >> np.uint64(28)).astype(np.int64)] = True
+        at = np.flatnonzero(some[(keys >> np.uint64(28)).astype(np.int64)])
+        found[at] = wanted[np.minimum(np.searchsorted(wanted, keys[at]), len(wanted) - 1)] == keys[at]
+    return found
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -169,7 +182,7 @@ def chunked(docs: DataFrame, n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> Da
         part = TaskContext.get().partitionId() << 32
         chunk, ord_, room = 0, 0, chunk_bytes
         for b in slices(batches):
-            sizes = [len(x) for x in b.column(1).to_pylist()]
+            sizes = pc.binary_length(b.column(1)).to_pylist()
             chunks, ords = [], []
             for size in sizes:
                 if size > room and ord_:
@@ -196,13 +209,13 @@ def _probes(chunks: DataFrame, window: int, block: int, buckets: int) -> DataFra
         chunk = Chunk(rows)
         keys, at = chunk.probes(window, block)
         starts = np.repeat(chunk.starts, chunk.sizes)
-        by = np.argsort(keys, kind="stable")
-        keys, anchor = keys[by], ((at - starts[at]) % block == 0)[by]
+        marked = np.sort(keys << np.uint64(1) | ((at - starts[at]) % block == 0).astype(np.uint64))
+        keys = marked >> np.uint64(1)
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         if not len(first):
             return out.empty_table()
-        several, blocks = np.diff(np.append(first, len(keys))) > 1, np.logical_or.reduceat(anchor, first)
-        marked = keys[first] << np.uint64(2) | several.astype(np.uint64) << np.uint64(1) | blocks.astype(np.uint64)
+        last = np.append(first[1:], len(keys)) - 1  # of a key's places; one where a block begins is the last
+        marked = keys[first] << np.uint64(2) | (last > first).astype(np.uint64) << np.uint64(1) | marked[last] & np.uint64(1)
         names, cuts = _cuts(keys[first], buckets)
         released()
         return pa.Table.from_batches([batch(out, [names, [key[0].as_py()] * len(names), [packed(marked[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]])])
@@ -327,7 +340,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, c
 
     removed: array<struct(start, length)>, the maximal stretches of words that go. kept: the other words, joined by blanks.
     """
-    if not 1 <= block <= (window + 1) // 2:
+    if window < 2 or not 1 <= block <= (window + 1) // 2:
         raise ValueError("a window has to hold a whole block wherever it begins: 2 * block - 1 <= window")
     spark: SparkSession = docs.sparkSession
     arrow_batches(spark)
