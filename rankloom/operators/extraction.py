@@ -7,6 +7,7 @@ an error row instead of failing the job; retries and back-off follow `Retry`.
 from __future__ import annotations
 
 import json
+import logging
 import re
 import time
 import uuid
@@ -20,12 +21,19 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import text_hash
 from rankloom.operators.retrieval import cache_misses
+from rankloom.sources.vector_cache import VectorCache
+
+LOG = logging.getLogger(__name__)
 
 #: (system, user) -> content of the answer, and text -> vector.
 Chat = Callable[[str, str], str]
 Embed = Callable[[str], list]
 
 
+#: Columns of extract()'s answers, for documents whose ids are strings.
+ANSWERS = "model string, doc_id string, value string, error string, error_type string"
+
+
 class ModelError(RuntimeError):
     """A call that failed for good."""
 
@@ -161,6 +169,7 @@ def prompt(spec: DataFrame) -> DataFrame:
 def extract(documents: DataFrame, spec: DataFrame, chat: Chat, model: str, system: str = "Extract the fields as one JSON object.", retry: Retry = Retry(), pause_s: float = 0.0) -> DataFrame:
     """(model, doc_id, value, error, error_type): one call a document; value is the answer's JSON object.
 
+    KeyError before any call if documents have no field specification.
     pause_s: seconds that a task waits between its calls, so that tasks times calls a second stay under an endpoint's limit.
     """
 
@@ -176,11 +185,19 @@ def extract(documents: DataFrame, spec: DataFrame, chat: Chat, model: str, syste
                     rows.append((model, doc, None, str(e), type(e).__name__))
             yield pd.DataFrame(rows, columns=["model", "doc_id", "value", "error", "error_type"])
 
+    unknown = [r.doc_id for r in unspecified(documents, spec).limit(10).collect()]
+    if unknown:
+        raise KeyError(f"documents without a field specification: {unknown}")
     asked = documents.select("doc_id", "text").join(prompt(spec), "doc_id")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return asked.mapInPandas(run, f"model string, doc_id {kind}, value string, error string, error_type string")
 
 
+def unspecified(documents: DataFrame, spec: DataFrame) -> DataFrame:
+    """(doc_id) of documents that have no field specification."""
+    return documents.select("doc_id").join(spec.select("doc_id").distinct(), "doc_id", "left_anti").orderBy("doc_id")
+
+
 def to_runs(answers: DataFrame, spec: DataFrame, created_at: Column | None = None) -> DataFrame:
     """Long run rows (model, created_at, doc_id, field, value VARIANT, error, error_type): the spec's fields, or one row with the error."""
     fields = to_fields(answers.where("error IS NULL"), spec).withColumns({"error": F.lit(None).cast("string"), "error_type": F.lit(None).cast("string")})
@@ -241,6 +258,11 @@ def embedded(chunks: DataFrame, cache: DataFrame, call: Embed, model: str, text:
     return with_vectors(chunks, known.select("model", "h", "v").unionByName(new), text), new
 
 
+def fill_cache(texts: DataFrame, cache: VectorCache, call: Embed, model: str, retry: Retry = Retry()) -> None:
+    """Embed what the cache misses of texts (text), and store it; failed ones stay misses."""
+    cache.append(embed(cache.misses(texts, model), call, model, retry).where("error IS NULL"), model)
+
+
 def letter_embedder(text: str) -> list[float]:
     """An embedder without a model: counts of the letters a to z."""
     low = (text or "").lower()
@@ -253,11 +275,34 @@ def with_vectors(chunks: DataFrame, cache: DataFrame, text: str = "text") -> Dat
 
 
 def pick_embedder(candidates: list[tuple[str, Callable[[], Embed | None]]]) -> tuple[str, Embed] | None:
-    """The first embedder that can be had, by name; resolved once, on the driver."""
+    """The first embedder that can be had, by name; resolved once, on the driver. Why others can't be had is logged."""
     for name, resolve in candidates:
         try:
             if (found := resolve()) is not None:
                 return name, found
-        except Exception:
-            continue
+            LOG.info("embedder %s is not to be had", name)
+        except (ModelError, OSError, ImportError, ValueError) as e:
+            LOG.warning("embedder %s is not to be had: %s: %s", name, type(e).__name__, e)
     return None
+
+
+def served_embedder(base_url: str, model: str, probe_s: float = 2.0) -> Embed | None:
+    """An embedding server's transport, if it answers and lists exactly this model; else None or the error."""
+    import urllib.request
+
+    found = _fetched(urllib.request.Request(f"{base_url.rstrip('/')}/api/tags"), probe_s)
+    return http_embed(f"{base_url.rstrip('/')}/api/embed", model) if model in {m.get("name") for m in found.get("models", ())} else None
+
+
+def local_embedder(model: str) -> Embed:
+    """A sentence-embedding model of the optional library, loaded once a worker; ImportError without it."""
+    import sentence_transformers  # noqa: F401
+
+    return once_a_worker(lambda: _local_model(model))
+
+
+def _local_model(model: str) -> Embed:
+    from sentence_transformers import SentenceTransformer
+
+    loaded = SentenceTransformer(model)
+    return lambda text: [float(x) for x in loaded.encode([text], normalize_embeddings=True)[0]]

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import chunking, evaluation, extraction, retrieval, scoring
+from rankloom.functions.text import band, parsed_json
+from rankloom.operators import chunking, evaluation, extraction, file_rules, retrieval, scoring, validation
 from rankloom.sources import readers
 
 
@@ -63,6 +64,23 @@ def run_eval(spec: DataFrame, gold: DataFrame, runs: DataFrame, judged: DataFram
     return flat, docs, scoring.model_scores(docs)
 
 
+def golden_checks(spark: SparkSession, root: str, spec_path: str, documents: int | None = None) -> DataFrame:
+    """Constraint rows of the golden documents below root, of their queries, and of the specification as a set."""
+    names = readers.documents(spark, root).select("doc_id")
+    records = readers.golden_texts(spark, root).select("doc_id", parsed_json("text").alias("golden"))
+    queries = readers.golden_queries(spark, root)
+    asked = queries.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "question", "expected_spans")).alias("queries"))
+    whole = names.unionByName(records.select("doc_id")).unionByName(asked.select("doc_id")).distinct()
+    rows = whole.join(readers.documents(spark, root), "doc_id", "left").join(records, "doc_id", "left").join(asked, "doc_id", "left")
+    rules = validation.golden_rules(list(validation.REQUIRED), list(validation.LISTS))
+    spec = readers.whole_texts(spark, spec_path)
+    return (
+        validation.constraints(rows, F.col("doc_id"), rules)
+        .unionByName(validation.constraints(queries, F.col("query_id"), validation.query_rules()))
+        .unionByName(file_rules.specification_rules(spec, whole, documents))
+    )
+
+
 def failed_models(models: DataFrame, names: Sequence[str]) -> DataFrame:
     """Model scores with a row of zeros for each named model that has none, since its run is missing or unreadable."""
     wanted = models.sparkSession.createDataFrame([(n,) for n in names], "model string")
@@ -88,6 +106,20 @@ def document_view(doc_id: str, documents: DataFrame, spec: DataFrame, gold: Data
     }
 
 
+def scorecard(fields: DataFrame, docs: DataFrame, models: DataFrame, retrieval_report: DataFrame) -> dict[str, DataFrame]:
+    """What the scorecard's page shows, in its order: models by F1, the retrieval report's overall rows, each document's best model
+    and correct fields by model, and the documents."""
+    best = docs.groupBy("doc_id").agg(F.max_by("model", F.struct("f1", "n_correct")).alias("best_model"), F.max("f1").alias("best_f1"), F.count(F.lit(1)).alias("n_models"))
+    kinds = fields.groupBy("doc_id").agg(F.count_distinct("field").alias("n_fields"))
+    return {
+        "models": models.withColumn("band", band(F.col("f1"))).orderBy(F.desc("f1"), "model"),
+        "retrieval": retrieval_report.where("doc_id IS NULL").drop("doc_id").orderBy("strategy"),
+        "retrieval_by_document": retrieval_report.where("doc_id IS NOT NULL").orderBy("strategy", "doc_id"),
+        "documents": best.join(kinds, "doc_id").orderBy("doc_id"),
+        "correct": docs.select("doc_id", "model", "n_correct", "n_fields").orderBy("doc_id", "model"),
+    }
+
+
 def model_view(model: str, fields: DataFrame) -> DataFrame:
     """A model's scored fields, by document; the model is found by its own name, as file names aren't one to one."""
     return fields.where(F.col("model") == model).select("doc_id", "field_ix", "field", "category", "correct", "f1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import chunking, extraction, retrieval, validation
+from rankloom.operators import chunking, extraction, file_rules, retrieval, validation
 from rankloom.plans.registry import Registry, norm, strip, table
 
 R = Registry()
@@ -184,3 +184,33 @@ def prompt_fields(spark, d):
 
 
 R.sql["prompt_fields"] = "SELECT DISTINCT p_brand AS doc_id, '- size (integer): d' || chr(10) || '- kind (categorical): d [one of: A, B]' || chr(10) || '- arms (list): d [list of object with keys label, type]' AS fields FROM part"
+
+
+_SQL_PATHS = """WITH p AS (SELECT source || '/' || CASE doc_id % 11 WHEN 0 THEN 'tmp/' WHEN 1 THEN 'kept_old/' ELSE '' END || CASE doc_id % 7 WHEN 0 THEN 'My ' WHEN 1 THEN 'Upper' ELSE '' END || lang || '_' || doc_id
+  || CASE doc_id % 5 WHEN 0 THEN '.log' WHEN 1 THEN '_old' ELSE '.py' END AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+s AS (SELECT path, string_split(path, '/') AS parts FROM p), n AS (SELECT path, parts[-1] AS name, parts[:-2] AS folders FROM s)"""
+
+
+@R.add(rf"""{_SQL_PATHS}, c AS (
+  SELECT 'no_forbidden_folder' AS rule, len(list_filter(folders, lambda f: f IN ('node_modules', '.next', '__pycache__', 'tmp', 'scratch', 'backup') OR f LIKE '%\_old' ESCAPE '\')) = 0 AS ok FROM n
+  UNION ALL SELECT 'no_forbidden_file', NOT (name IN ('.env', '.DS_Store') OR name LIKE '%.pyc' OR name LIKE '%.log' OR name LIKE '%\_old' ESCAPE '\') FROM n
+  UNION ALL SELECT 'no_blank', NOT contains(path, ' ') FROM n
+  UNION ALL SELECT 'snake_case', name NOT LIKE '%.py' OR name IN ('__init__.py', '__main__.py') OR regexp_matches(name, '^[a-z_][a-z0-9_]*\.py$') FROM n)
+SELECT rule, 'error' AS severity, count(*) AS n, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_failed, bool_and(ok) AS passed FROM c GROUP BY rule""")
+def committed_path_rules(spark, d):
+    """Documents as files of a repository, some in forbidden folders or with forbidden names."""
+    key = F.col("doc_id")
+    folder = F.when(key % 11 == 0, "tmp/").when(key % 11 == 1, "kept_old/").otherwise("")
+    begin = F.when(key % 7 == 0, "My ").when(key % 7 == 1, "Upper").otherwise("")
+    ending = F.when(key % 5 == 0, ".log").when(key % 5 == 1, "_old").otherwise(".py")
+    paths = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select(F.concat("source", F.lit("/"), folder, begin, "lang", F.lit("_"), key.cast("string"), ending).alias("path"))
+    return validation.summary(file_rules.committed_rules(paths))
+
+
+@R.add("""WITH docs AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), wanted AS (SELECT 'src' || i AS source, CASE WHEN i % 2 = 0 THEN 'error' ELSE 'warning' END AS severity FROM range(60) t(i))
+SELECT 'present' AS rule, severity, count(*) AS n, CAST(count(*) FILTER (WHERE docs.source IS NULL) AS BIGINT) AS n_failed, count(*) FILTER (WHERE docs.source IS NULL) = 0 OR severity = 'warning' AS passed
+FROM wanted LEFT JOIN docs USING (source) GROUP BY severity""")
+def presence_rules(spark, d):
+    """Sources that a set of documents has to have."""
+    paths = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("path"))
+    return validation.summary(file_rules.presence(paths, {f"src{i}": "warning" if i % 2 else "error" for i in range(60)}))

@@ -38,6 +38,12 @@ def documents(spark: SparkSession, root: str, name: str = "source.md") -> DataFr
     return _whole(spark, f"{root}/*/{name}").select("doc_id", "text")
 
 
+def document_stream(spark: SparkSession, root: str, files: int, name: str = "source.md") -> DataFrame:
+    """A stream of (doc_id, text) of whole files, in micro-batches of so many."""
+    texts = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files).load(f"{root}/*/{name}")
+    return texts.select(_directory().alias("doc_id"), F.col("value").alias("text"))
+
+
 def listed(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
     """(doc_id) of directories that have all files named, in order of name; contents aren't read."""
     try:
@@ -78,6 +84,16 @@ def _not_null(v: Column) -> Column:
     return F.when(~F.is_variant_null(v), v)
 
 
+def golden_texts(spark: SparkSession, root: str, name: str = "golden.json") -> DataFrame:
+    """(doc_id, text) of golden records as they are stored."""
+    return _whole(spark, f"{root}/*/{name}").select("doc_id", "text")
+
+
+def whole_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """(text) of whole files."""
+    return _whole(spark, pattern).select("text")
+
+
 def golden_records(spark: SparkSession, root: str, name: str = "golden.json") -> DataFrame:
     """Long rows (doc_id, field, value VARIANT)."""
     rows = _whole(spark, f"{root}/*/{name}").select("doc_id", F.explode(fields_of(F.col("text"))).alias("field", "value"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import storage
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -27,11 +31,21 @@ def save_runs(rows: DataFrame, path: str) -> None:
     named.withColumn("value", F.to_json("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "doc_id").parquet(path)
 
 
+#: Columns of saved runs; value is JSON text in files.
+RUN_COLUMNS = "created_at timestamp, field string, value string, error string, error_type string, model string, doc_id string"
+
+
 def load_runs(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """Long run rows that save_runs() has written; none if there are no files yet."""
+    rows = spark.read.schema(RUN_COLUMNS).parquet(path) if storage.exists(spark, path) else spark.createDataFrame([], RUN_COLUMNS)
     return rows.withColumn("field", F.nullif("field", F.lit(""))).withColumn("value", F.try_parse_json("value")).withColumns({c: F.col(c).cast("string") for c in ("model", "doc_id")})
 
 
+def folder_name(name: str) -> str:
+    """A folder's name that no two names share."""
+    return f"{re.sub('[^A-Za-z0-9.]+', '-', name)}-{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+
+
 def append_cache(new: DataFrame, path: str) -> None:
     """Append vectors of texts that the cache missed, as lines {"model", "h", "v"}, which readers.embedding_cache() reads back."""
     new.where("v IS NOT NULL").select("model", "h", "v").write.mode("append").json(path)

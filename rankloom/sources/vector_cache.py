@@ -10,8 +10,6 @@ Defined cases: a null vector or hash isn't stored; a path without a table is an
 
 from __future__ import annotations
 
-import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rankloom import storage
 from rankloom.functions.text import text_hash
+from rankloom.sources.sinks import folder_name
 
 BUCKETS = 64
 
@@ -33,7 +32,7 @@ class VectorCache:
 
     def folder(self, model: str) -> str:
         """A model's folder: its name as far as a path can hold it, and a digest that tells alike ones apart."""
-        return f"{self.path}/{re.sub('[^A-Za-z0-9.]+', '-', model)}-{hashlib.sha256(model.encode()).hexdigest()[:16]}"
+        return f"{self.path}/{folder_name(model)}"
 
     @contextmanager
     def _named(self, path: str) -> Iterator[str]:
