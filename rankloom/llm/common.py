@@ -16,7 +16,8 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _SCRATCH: list[str] = []  # paths of new_path(), until they are removed
@@ -138,6 +139,26 @@ def values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
+def quoted(name: str) -> str:
+    """A column's name in expressions, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **named: Column) -> DataFrame:
+    """(row, the named columns): df's rows as one struct, so that no name of a caller's column meets one of an operator's."""
+    return df.select(F.struct(*[df[quoted(c)] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def cell(name: str) -> Column:
+    """A caller's column of packed() rows."""
+    return F.col(f"row.{quoted(name)}")
+
+
+def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The caller's columns of packed() rows in their order, some of them replaced."""
+    return rows.select(*[((new or {}).get(c) if c in (new or {}) else cell(c)).alias(c) for c in columns])
+
+
 def texts(column: pa.Array) -> list[str]:
     """A text column as Python strings, null as empty."""
     return [x or "" for x in values(column)]

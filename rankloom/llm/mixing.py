@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import saved, table
+from rankloom.llm.common import packed, saved, table, unpacked
 
 SEED = 13
 MAX_EPOCHS = 2
@@ -147,15 +147,15 @@ def mixed_documents(df: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """df's rows that the mixture takes, once for each epoch, whole (a cut document stays whole), columns as they are."""
     light = saved(leaves_of(df), "leaves")
     leaves = saved(plan(light, saved(budgets(light, **options), "budgets"), seed), "leaf-plan")
-    keys = {c: f"__{c}" for c in leaves.columns}
-    rows = df.withColumns({
-        "__domain": domain_of(F.col("source")), "__lang": F.coalesce("lang", F.lit("none")), "__source": F.coalesce("source", F.lit("none")),
-        "__name": F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))),
-        "__n": tokens_of(F.col("text")),
-    }).join(leaves.withColumnsRenamed(keys), [keys[c] for c in LEAF])
-    mine = F.struct(_order(seed, F.col("__epochs"), F.col("__name")).alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__n").alias("n_tokens"))
-    copies = F.col("__epochs") + F.col("__more").cast("long")
-    return _taken(rows, leaves, keys, mine).where(copies > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(c) for c in df.columns])
+    keys = {c: f"leaf_{c}" for c in leaves.columns}
+    rows = packed(
+        df, leaf_domain=domain_of(F.col("source")), leaf_lang=F.coalesce("lang", F.lit("none")), leaf_source=F.coalesce("source", F.lit("none")),
+        name=F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))), n=tokens_of(F.col("text")),
+    ).join(leaves.withColumnsRenamed(keys), [keys[c] for c in LEAF])
+    mine = F.struct(_order(seed, F.col("leaf_epochs"), F.col("name")).alias("o"), F.col("row.doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_tokens"))
+    copies = F.col("leaf_epochs") + F.col("__more").cast("long")
+    taken = _taken(rows, leaves, keys, mine).where(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("epoch"))
+    return unpacked(taken, df.columns)
 
 
 def op7_mixture(spark, sf_dir):

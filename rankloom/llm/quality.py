@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table
+from rankloom.llm.common import cell, packed, quoted, table
 from rankloom.llm.toxicity import labelled_sample
 
 HELD_OUT_MOD, HELD_OUT = 4, 2
@@ -57,11 +57,12 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """df with its statistics as columns __q_<name>, and their names."""
-    named = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    named = named.withColumn("__words", F.filter(F.split("__text", r"\s+"), lambda x: x != ""))
+    """df with its statistics as columns __q_<name> (a caller's column of such a name is replaced), and their names."""
+    rows = packed(df, __text=F.coalesce(df[quoted(text_col)], F.lit("")))
+    rows = rows.withColumn("__words", F.filter(F.split("__text", r"\s+"), lambda x: x != ""))
     stats = statistics(F.col("__text"))
-    return named.withColumns({f"__q_{k}": c.cast("double") for k, c in stats.items()}).drop("__words", "__text"), list(stats)
+    new = [c.cast("double").alias(f"__q_{k}") for k, c in stats.items()]
+    return rows.select(*[cell(c).alias(c) for c in df.columns if c not in {f"__q_{k}" for k in stats}], *new), list(stats)
 
 
 def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float] | None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, sliced, slices, texts, values
+from rankloom.llm.common import arrow_batches, batch, cell, packed, quoted, sliced, slices, texts, unpacked, values
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -247,9 +247,12 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
         return sliced(column, lambda part: [t if t is None else redact_text(t, all_spans(t)[1]) for t in values(part)], pa.string())
 
     arrow_batches(df.sparkSession)
-    new = df.select("*", F.arrow_udf(clean, "string")(df[text_col]).alias("__clean"))
-    size = F.when(F.col("__clean") == F.col(text_col), F.col(length_col)).otherwise(F.length("__clean").cast(df.schema[length_col].dataType)) if length_col in df.columns else None
-    return new.select(*[F.col("__clean").alias(c) if c == text_col else F.coalesce(size, c).alias(c) if c == length_col else F.col(c) for c in df.columns])
+    rows = packed(df, clean=F.arrow_udf(clean, "string")(df[quoted(text_col)]))
+    new = {text_col: F.col("clean")}
+    if length_col in df.columns:
+        size = F.when(F.col("clean") == cell(text_col), cell(length_col)).otherwise(F.length("clean").cast(df.schema[length_col].dataType))
+        new[length_col] = F.coalesce(size, cell(length_col))
+    return unpacked(rows, df.columns, new)
 
 
 def op1_secret_scan(spark, sf_dir):

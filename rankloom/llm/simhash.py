@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, dropped, saved, slices, table, texts, values
+from rankloom.llm.common import arrow_batches, batch, cell, dropped, packed, quoted, saved, slices, table, texts, unpacked, values
 from rankloom.llm.graph import Forest, blocked, components, cut_up, joined_on, runs
 
 SHINGLE, RADIUS_BITS = 3, 2
@@ -355,17 +355,17 @@ def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one document (the smallest doc_id) of each group of alike texts; all columns kept."""
-    extra = saved(near_groups(df, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__doc")).distinct(), "extra")
-    kept = df.join(extra, df[id_col].cast("long") == F.col("__doc"), "left_anti")
-    again = df.where(df[id_col].isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again")
-    again = saved(again, "repeated")
+    extra = saved(near_groups(df, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("doc")).distinct(), "extra")
+    rows = packed(df, doc=df[quoted(id_col)].cast("long"))
+    kept = rows.join(extra, "doc", "left_anti")
+    again = saved(rows.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").select("doc"), "repeated")
     if not again.limit(1).count():
-        return kept
+        return unpacked(kept, df.columns)
     # Rows that share a doc_id: the one with the smallest text, and of equal ones the first.
-    single = kept.join(again, kept[id_col] == F.col("__again"), "left_anti")
-    fields = [F.col(c) for c in df.columns if c != text_col]
-    many = kept.join(again, kept[id_col] == F.col("__again"), "left_semi").groupBy(F.col(id_col).alias("__again")).agg(F.min(F.struct(F.col(text_col), F.to_json(F.struct(*fields)).alias("__rest"), *fields)).alias("__row"))
-    return single.unionByName(many.select(*[F.col(f"__row.{c}").alias(c) for c in df.columns]))
+    single = kept.join(again, "doc", "left_anti").select("row")
+    least = F.min_by("row", F.struct(cell(text_col).alias("text"), F.to_json("row").alias("whole")))
+    many = kept.join(again, "doc", "left_semi").groupBy("doc").agg(least.alias("row")).select("row")
+    return unpacked(single.unionByName(many), df.columns)
 
 
 def op6_simhash(spark, sf_dir):

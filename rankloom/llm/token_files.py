@@ -9,7 +9,8 @@ A shard is one binary value: magic, version, number of documents and of ids, the
 sizes, then control bytes and data bytes, with a checksum. Shards are rows of a Parquet table in
 ascending doc_id order (part, k, first, n_docs, n_tokens, blob), written by Spark, so they can lie in any
 store that Spark writes to. first counts the part's ids before a shard, so that a reader needs only the sums
-of parts, of which there are as many as write tasks.
+of parts, of which there are as many as write tasks. The ids by rank lie in a folder `_ranks` beside the shards, so
+that a later session reads the files by their path alone.
 
 Defined cases: null or empty text has the end id alone; very long texts are encoded whole (a shard ends with the
 document that fills it); a null doc_id sorts first; repeated doc_ids stay rows of their own, next to each other, in order
@@ -38,6 +39,7 @@ MAGIC = b"RVB1"
 #: Tokens of one shard, about; a shard ends with the document that reaches it.
 SHARD_TOKENS = 1 << 21
 _SHARDS = "part long, k long, first long, n_docs long, n_tokens long, blob binary"
+_RANKS, _RANK_FOLDER = "version int, n_ids long, crc32 long, ids binary", "_ranks"
 _NULL = -(1 << 63)  # stands for a null doc_id
 
 #: For each control byte: the byte counts of its four values.
@@ -170,10 +172,26 @@ def write_files(ids: DataFrame, ranks: np.ndarray, path: str, partitions: int |
     tied = ids.select("doc_id", "width", "ids", F.xxhash64("ids").alias("tie"))
     dealt = tied.repartitionByRange(*([partitions] if partitions else []), "doc_id", "tie").sortWithinPartitions(*order).drop("tie")
     dealt.mapInArrow(run, _SHARDS).write.option("compression", "none").parquet(path)
+    _write_ranks(spark, ranks, path)
 
 
-def read_files(spark, path: str, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
+def _write_ranks(spark, ranks: np.ndarray, path: str) -> None:
+    """The ids by rank, in a folder of their own beside the shards, which readers of these leave out: at most an id a word of the vocabulary."""
+    data = ranks.astype("<u4").tobytes()
+    spark.createDataFrame([(1, len(ranks), zlib.crc32(data), bytearray(data))], _RANKS).coalesce(1).write.parquet(f"{path}/{_RANK_FOLDER}")
+
+
+def read_ranks(spark, path: str) -> np.ndarray:
+    """The ids by rank that write_files() stored; ValueError if they are damaged."""
+    version, n, crc, data = spark.read.schema(_RANKS).parquet(f"{path}/{_RANK_FOLDER}").first()
+    if version != 1 or len(data) != 4 * n or zlib.crc32(data) != crc:
+        raise ValueError("not a rank table, or a damaged one")
+    return np.frombuffer(bytes(data), "<u4")
+
+
+def read_files(spark, path: str, ranks: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone; ranks: those that are stored there."""
+    ranks = read_ranks(spark, path) if ranks is None else ranks
     stored = spark.read.schema(_SHARDS).parquet(path)
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a number a write task
     starts, total = {}, 0
@@ -203,4 +221,4 @@ def op5_token_files(spark, sf_dir):
     path = new_path(spark, "token-shards")
     write_files(ids, ranks, path)
     dropped(ids)
-    return read_files(spark, path, ranks)
+    return read_files(spark, path)
