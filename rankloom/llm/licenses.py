@@ -14,7 +14,7 @@ Inverse document frequencies are those of the templates, which are fixed; a word
 the rarest.
 
 Defined cases: null or empty text has no licence of its own; very long texts are scanned line by line, and are no licence's
-full text; ties between templates go to the first by name, between licence files of a directory to the higher score, then the
+full text; a stated SPDX expression goes before all else, as it is written; ties between templates go to the first by name, between licence files of a directory to the higher score, then the
 smaller path; a null path has neither directory nor heir; repeated rows give repeated results; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
@@ -39,27 +39,38 @@ FILE_SHARE = 0.25
 LICENSE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 #: Short statements as headers and licence files use them.
 TEMPLATES = {
+    "0BSD": ("Licensed under the BSD Zero Clause License", "SPDX-License-Identifier: 0BSD"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004"),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-4-Clause": ("Licensed under the BSD 4-Clause License", "SPDX-License-Identifier: BSD-4-Clause"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0", "This work is licensed under the Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0", "This work is licensed under the Creative Commons Attribution NonCommercial ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0", "This work is licensed under the Creative Commons Attribution NoDerivatives 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License"),
     "CC0-1.0": ("Released into the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
+    "EPL-2.0": ("Made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "Eclipse Public License Version 2.0"),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "ISC": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
+    "MIT-0": ("Licensed under the MIT No Attribution License", "SPDX-License-Identifier: MIT-0"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"),
 }
 #: Headers and grants as they stand in files, wrapped over lines; compared with whole paragraphs.
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 HEADERS = {
+    "AGPL-3.0": (_GNU.format("Affero General Public License", 3),),
     "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',),
     "GPL-2.0": (_GNU.format("General Public License", 2),),
     "GPL-3.0": (_GNU.format("General Public License", 3),),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-2.1": (_GNU.format("Lesser General Public License", "2.1"),),
     "LGPL-3.0": (_GNU.format("Lesser General Public License", 3),),
     "MIT": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
@@ -77,7 +88,16 @@ TEXT_THRESHOLD, TEXT_WORDS = 0.85, (80, 400)
 #: Words of a paragraph that is compared with the headers; they have 30 to 70 themselves.
 HEADER_WORDS = (15, 400)
 _BLANK = re.compile(r"\n[\s#*/;%!\-]*\n")
-_VERSION = re.compile(r"-(\d+)(?:\.\d+|-)")
+_VERSION = re.compile(r"-(\d+)\.(\d+)$")
+#: Words that tell licences of a family apart: a licence counts only if the words at hand have just the marks that its own have.
+MARKS = {
+    "affero": ("affero", "agpl"), "lesser": ("lesser", "lgpl"), "nc": ("nc", "noncommercial"), "nd": ("nd", "noderivatives", "noderivs"), "sa": ("sa", "sharealike"),
+    "mit-0": ("mit 0", "no attribution"), "0-clause": ("0bsd", "zero clause", "0 clause"), "2-clause": ("2 clause",), "3-clause": ("3 clause",), "4-clause": ("4 clause",),
+}
+#: Families, by the beginning of a licence's name, and the marks that matter in them.
+FAMILIES = {("AGPL", "GPL", "LGPL"): ("affero", "lesser"), ("CC-BY",): ("nc", "nd", "sa"), ("MIT",): ("mit-0",), ("BSD", "0BSD"): ("0-clause", "2-clause", "3-clause", "4-clause")}
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() \t]+)")
+_SPDX_PART = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+")
 _MENTION = re.compile(r"(?i)licen[cs]e|spdx|public domain|copyright")
 _GRANT = re.compile(r"(?i)licen[cs]e|permission")
 _AS_IS_SIGN = re.compile(r"(?i)as\s+is")
@@ -88,6 +108,38 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _marks(ws: list[str], names: tuple[str, ...]) -> frozenset[str]:
+    """Which of the marks are among some words, as words or neighbouring words."""
+    row = f" {' '.join(ws)} "
+    return frozenset(n for n in names if any(f" {m} " in row for m in MARKS[n]))
+
+
+def spdx(text: str) -> str | None:
+    """The licence that the first SPDX line of a text states, an expression in upper-case operators; None without a valid one.
+
+    What a name says of later versions (-only, -or-later, +) is left out. Names are those of the line, whether or not there is a template.
+    """
+    for found in _SPDX.finditer(text):
+        parts, out, depth, name_next = _SPDX_PART.findall(found[1]), [], 0, True
+        for part in parts:
+            if part == "(" and name_next:
+                depth += 1
+            elif part == ")" and not name_next and depth:
+                depth -= 1
+            elif part.upper() in ("AND", "OR", "WITH") and not name_next:
+                part, name_next = part.upper(), True
+            elif name_next and part not in ("(", ")") and part.upper() not in ("AND", "OR", "WITH"):
+                part, name_next = re.sub(r"(?:-only|-or-later|\+)$", "", part), False
+            else:
+                break  # what follows the expression
+            out.append(part)
+        while out and (out[-1] in ("AND", "OR", "WITH", "(")):  # words after it that look like operators
+            out.pop()
+        if out and out.count("(") == out.count(")"):
+            return " ".join(out).replace("( ", "(").replace(" )", ")")
+    return None
+
+
 class Templates:
     """TF-IDF vectors of the templates, by word."""
 
@@ -98,8 +150,9 @@ class Templates:
         self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
         self.rare = math.log(1 + n) + 1
         self.names = [name for name, _ in lists]
-        versions = {name: _VERSION.search(name) for name in self.names if name != "CC0-1.0" and not name.startswith("BSD-")}  # one version only, no version
-        self.versions = {name: re.compile(rf"[a-z]*{m[1]}(?:\.0)?") for name, m in versions.items() if m}
+        versions = {name: _VERSION.search(name) for name in self.names if name != "CC0-1.0"}  # it has one version only
+        self.versions = {name: re.compile(rf"[a-z]*{m[1]}(?:\.0)?" if m[2] == "0" else rf"[a-z]*{m[1]}\.{m[2]}") for name, m in versions.items() if m}
+        self.marks = {name: (marks, _marks(words(name), marks)) for name in self.names for family, marks in FAMILIES.items() if name.startswith(family)}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, ws) in enumerate(lists):
             vector = {w: c * self.idf[w] for w, c in Counter(ws).items()}
@@ -108,15 +161,23 @@ class Templates:
                 self.postings.setdefault(w, []).append((k, v / norm))
 
     def best(self, ws: list[str]) -> tuple[float, str | None]:
-        """(cosine, name) of the template nearest to some words, of those whose version is among the words."""
+        """(cosine, name) of the template nearest to some words, of those whose version is among the words and whose marks are those of the words."""
         vector = {w: c * self.idf.get(w, self.rare) for w, c in Counter(ws).items()}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         dots: dict[int, float] = {}
         for w, v in vector.items():
             for k, t in self.postings.get(w, ()):
                 dots[k] = dots.get(k, 0.0) + v * t
-        agree = {n: any(map(v.fullmatch, vector)) for n, v in self.versions.items()} if dots else {}
+        agree = {n: any(map(v.fullmatch, vector)) for n in {self.names[k] for k in dots} if (v := self.versions.get(n))}
         dots = {k: d for k, d in dots.items() if agree.get(self.names[k], True)}
+        has: dict[tuple, frozenset] = {}
+        for name in {self.names[k] for k in dots} & self.marks.keys():
+            marks, own_marks = self.marks[name]
+            if marks not in has:
+                has[marks] = _marks(ws, marks)
+            clauses = "2-clause" in marks and not has[marks]  # a text of BSD conditions needn't count its clauses
+            if has[marks] != own_marks and not clauses:
+                dots = {k: d for k, d in dots.items() if self.names[k] != name}
         if not dots:
             return 0.0, None
         k = min(dots, key=lambda k: (-round(dots[k] / norm, 9), k))
@@ -158,6 +219,8 @@ def paragraphs(text: str) -> Iterator[list[str]]:
 def own_license(text: str, templates: Templates, threshold: float = THRESHOLD, headers: Templates | None = None, whole: Templates | None = None) -> tuple[str | None, float, float]:
     """(licence, cosine, share of the text's words in its segment); (None, 0, 0) without one."""
     best, size = (0.0, None), 0
+    if headers is not None and "SPDX-License-Identifier:" in text and (stated := spdx(text)):
+        return stated, 1.0, len(words(stated)) / max(1, len(words(text)))
     if whole is not None and len(text) < 12 * TEXT_WORDS[1] and _AS_IS_SIGN.search(text):
         ws = words(text)
         if TEXT_WORDS[0] <= len(ws) <= TEXT_WORDS[1] and (found := whole.best(ws))[0] >= TEXT_THRESHOLD:
