@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.plans import retrieval_queries, scoring_queries, text_queries
+from rankloom.plans import io_queries, retrieval_queries, scoring_queries, text_queries
 from rankloom.plans.registry import Query
 
-_PARTS = (retrieval_queries.R, text_queries.R, scoring_queries.R)
+_PARTS = (retrieval_queries.R, text_queries.R, scoring_queries.R, io_queries.R)
 
 
 def queries() -> dict[str, Query]:

@@ -115,6 +115,13 @@ def bm25_filtered_lang(spark, d):
     return found.select("query_id", F.col("key").alias("doc_id"), "score", "rank")
 
 
+@R.add(f"WITH {_sql_bm25(where="AND key IN (SELECT doc_id FROM documents WHERE contains(lower('Corpus > ' || lang), 'pus > d'))")} SELECT query_id, key AS doc_id, score, rank FROM ranked")
+def bm25_in_section(spark, d):
+    """Results whose section's path holds a part, in any case of letters."""
+    found = retrieval.search_bm25(_index(spark, d), _asked(spark, d), _K, retrieval.in_section("PUS > D", F.concat(F.lit("Corpus > "), "lang")))
+    return found.select("query_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     """All vectors, and the stated query set: ids divisible by 100."""
     rows = table(spark, d, "embeddings").select(F.lit("all").alias("scope"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
