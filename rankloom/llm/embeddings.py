@@ -11,6 +11,7 @@ nearly all cells for isotropic noise of low dimension.
 
 A cell is cut into blocks of members and blocks of visitors by count, so a task holds two bounded
 blocks and multiplies them in double precision. Tasks return counts and a spanning forest, not pairs.
+Vectors travel as such to their cells alone; points are told apart, and joined back, by a digest of 128 bits.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
 also not with equal ones; vectors of different length never link (very long ones are compared like any other, in smaller batches); lengths other than the most frequent
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_batches, batch, saved, slices, table
-from rankloom.llm.graph import Forest, components
+from rankloom.llm.common import arrow_batches, batch, dropped, saved, slices, table
+from rankloom.llm.graph import Forest, components, joined_on
 
 THRESHOLD = 0.95
 #: Vectors from which centres are learned, at most; every vector gets a cell and is compared.
@@ -134,11 +135,28 @@ def _compare(group: pa.Table, threshold: float) -> list[tuple]:
     return [(point[n], int(partners[n]), point[forest.root(n)]) for n in np.flatnonzero(partners).tolist()]
 
 
+def _scaled(v: Column) -> Column:
+    """Vectors of very large or small components times a power of two, so that their norm is a number; others as they are."""
+    v = v.cast("array<double>")
+    most = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.least(-F.floor(F.log2(most)), F.lit(1000)), F.lit(-1000)))
+    return F.when(most.between(1e-100, 1e100), v).otherwise(F.transform(v, lambda e: e * power))
+
+
 def points(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vector, point, weight): distinct usable vectors, named by their smallest id."""
-    v = F.col(vec_col)
+    """(digest, vector, low, weight): distinct usable vectors by their digest, with their smallest id and number.
+
+    The digest has 128 bits, so that vectors themselves are keys of no shuffle. df's rows are not changed; see digest_of().
+    """
+    named = df.select(F.col(id_col).alias("id"), _scaled(F.col(vec_col)).alias("vector"), digest_of(F.col(vec_col)).alias("digest")).where("digest IS NOT NULL")
+    return named.groupBy("digest").agg(F.first("vector").alias("vector"), F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"))
+
+
+def digest_of(v: Column) -> Column:
+    """128 bits of a vector's components, null for one that links with nothing."""
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    return df.where(F.coalesce(usable, F.lit(False))).groupBy(v.alias("vector")).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("weight"))
+    exact = v.cast("array<double>")
+    return F.when(F.coalesce(usable, F.lit(False)), F.concat_ws("-", F.hex(F.xxhash64(exact)), F.hex(F.xxhash64(F.lit(17), exact)), F.size(v).cast("string")))
 
 
 def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
@@ -195,7 +213,9 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
         found = _compare(group, threshold)
         return pa.Table.from_batches([batch(result, list(zip(*found, strict=True)) if found else [[]] * 3)])
 
-    return groups.groupBy("cell", "m", "g").applyInArrow(compare, "point long, partners long, root long")
+    found = saved(groups.groupBy("cell", "m", "g").applyInArrow(compare, "point long, partners long, root long"), "near")
+    dropped(placed)
+    return found
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, cell: int = CELL) -> DataFrame:
@@ -203,13 +223,15 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
     # A point is named by a number of its own, since ids can be null or repeat.
     distinct = saved(points(rows, "vec_id", "vector").withColumn("point", F.monotonically_increasing_id()), "points")
-    found = saved(linked(distinct, threshold, block, cell), "near")
+    found = linked(distinct, threshold, block, cell)
     partners = found.groupBy("point").agg(F.sum("partners").alias("partners"))
     roots = components(found.select(F.col("root").alias("a"), F.col("point").alias("b")))
     lows = roots.join(distinct.select(F.col("point").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
     extra = partners.join(roots.withColumnRenamed("node", "point"), "point").join(lows, "root").select("point", "partners", "component")
-    named = distinct.join(extra, "point", "left").select("vector", (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
-    joined = rows.join(named, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = distinct.join(extra, "point", "left").select("digest", (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
+    known = rows.select("vec_id", digest_of(F.col("vector")).alias("digest"))
+    alone = known.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    joined = joined_on(known.where("digest IS NOT NULL"), named, "digest").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(alone)
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

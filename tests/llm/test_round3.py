@@ -279,3 +279,16 @@ def test_op13_against_brute_force(spark, tmp_path):
     want = op13_by_hand(docs, labels)
     assert {r[4] for r in want} == {"none", "stale", "fresh"}
     assert sorted([tuple(r) for r in got], key=str) == want
+
+
+# Embeddings
+
+
+def test_large_and_small_vectors_keep_their_links(spark):
+    from rankloom.llm import embeddings
+
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e308, 0.99e308]), (4, [1e-310, 1e-310]), (5, [1.0, 1.0]), (6, [1e200, -1e200]), (7, None), (8, [0.0, 0.0]), (9, [float("inf"), 1.0]), (10, [2.0, 2.0]), (11, [1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("digest", F.lit("x")).withColumn("vector", F.lit(0))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    together = {1, 2, 3, 4, 5, 10}
+    assert got == {i: (6, 1, i == 1) if i in together else (6, 1, False) if i is None else (0, i, True) for i, _ in rows}
