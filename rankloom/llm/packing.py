@@ -6,7 +6,8 @@ remainders are gathered into a window of bounded tokens. A full window opens as
 tokens need and assigns its pieces in descending length, each to the sequence of lowest cost that has
 room for it; a piece that fits nowhere is cut, and fills the emptiest sequences. So every window but
 the last of a task leaves no padding: its sequences are all full, and what is over (less than one
-sequence) goes to the next window. A task's last sequence is padded.
+sequence) goes to the next window. What a task's last window lacks, under one sequence, is padding, spread over
+its sequences.
 
 Nothing is shuffled and no state is shared: a lost task is computed again from its own input alone,
 with the same result. sequence_id is the task's partition number times 2^32 plus a count.
