@@ -72,7 +72,7 @@ def _counted(terms: Column) -> Column:
 
 
 def postings_of(chunks: DataFrame, scopes: int, counts: DataFrame, buckets: int) -> DataFrame:
-    """The rows of the postings table; reads texts once, and shuffles a row a chunk and term."""
+    """The rows of the postings table; reads texts once, and shuffles a row a chunk and term (with over BROADCAST_ROWS scopes, texts too, by scope)."""
     placed = chunks.join(small(counts.select("scope", F.ceil(F.col("n") / BLOCK_CHUNKS).alias("n_blocks")), scopes), "scope")
     rows = placed.select("scope", "key", F.pmod(F.xxhash64("key"), "n_blocks").alias("block"), tokens("text").alias("words"))
     whole = F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(0).alias("tf")))
