@@ -160,8 +160,8 @@ class Templates:
             for w, v in vector.items():
                 self.postings.setdefault(w, []).append((k, v / norm))
 
-    def best(self, ws: list[str]) -> tuple[float, str | None]:
-        """(cosine, name) of the template nearest to some words, of those whose version is among the words and whose marks are those of the words."""
+    def best(self, ws: list[str], marked: bool = False) -> tuple[float, str | None]:
+        """(cosine, name) of the template nearest to some words, of those whose version is among the words; marked: and whose marks are those of the words."""
         vector = {w: c * self.idf.get(w, self.rare) for w, c in Counter(ws).items()}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         dots: dict[int, float] = {}
@@ -171,7 +171,7 @@ class Templates:
         agree = {n: any(map(v.fullmatch, vector)) for n in {self.names[k] for k in dots} if (v := self.versions.get(n))}
         dots = {k: d for k, d in dots.items() if agree.get(self.names[k], True)}
         has: dict[tuple, frozenset] = {}
-        for name in {self.names[k] for k in dots} & self.marks.keys():
+        for name in {self.names[k] for k in dots} & self.marks.keys() if marked else ():
             marks, own_marks = self.marks[name]
             if marks not in has:
                 has[marks] = _marks(ws, marks)
@@ -223,13 +223,13 @@ def own_license(text: str, templates: Templates, threshold: float = THRESHOLD, h
         return stated, 1.0, len(words(stated)) / max(1, len(words(text)))
     if whole is not None and len(text) < 12 * TEXT_WORDS[1] and _AS_IS_SIGN.search(text):
         ws = words(text)
-        if TEXT_WORDS[0] <= len(ws) <= TEXT_WORDS[1] and (found := whole.best(ws))[0] >= TEXT_THRESHOLD:
+        if TEXT_WORDS[0] <= len(ws) <= TEXT_WORDS[1] and (found := whole.best(ws, marked=True))[0] >= TEXT_THRESHOLD:
             return found[1], found[0], 1.0
     parts = [(ws, templates) for ws in segments(text)]
     if headers is not None:
         parts += [(ws, headers) for ws in paragraphs(text)]
     for ws, known in parts:
-        found = known.best(ws)
+        found = known.best(ws, marked=True)
         if found[0] >= threshold and (found[0] > best[0] or found[0] == best[0] and found[1] < best[1]):
             best, size = found, len(ws)
     if best[1] is None:
