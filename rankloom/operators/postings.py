@@ -60,23 +60,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _counted(terms: Column) -> Column:
-    """array<struct(term, tf)> of an array of words, in one pass over the sorted words."""
-
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.transform(F.array(begins), lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))[0]
-
-    none = F.array().cast("array<struct<term: string, tf: int>>")
-    return F.when(F.size(terms) > 0, F.transform(F.array(F.sort_array(terms)), runs)[0]).otherwise(none)
-
-
 def postings_of(chunks: DataFrame, scopes: int, counts: DataFrame, buckets: int) -> DataFrame:
     """The rows of the postings table; reads texts once, and shuffles a row a chunk and term (with over BROADCAST_ROWS scopes, texts too, by scope)."""
     placed = chunks.join(small(counts.select("scope", F.ceil(F.col("n") / BLOCK_CHUNKS).alias("n_blocks")), scopes), "scope")
     rows = placed.select("scope", "key", F.pmod(F.xxhash64("key"), "n_blocks").alias("block"), tokens("text").alias("words"))
-    whole = F.array(F.struct(F.lit(_ALL).alias("term"), F.lit(0).alias("tf")))
-    each = rows.select("scope", "key", "block", F.size("words").alias("dl"), F.inline(F.concat(whole, _counted(F.col("words")))))
+    every = rows.select("scope", "key", "block", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(_ALL)), "words")).alias("term"))
+    n = F.count(F.lit(1)).cast("int")  # combined where the chunk lies
+    each = every.groupBy("scope", "key", "block", "dl", "term").agg(F.when(F.col("term") == _ALL, F.lit(0)).otherwise(n).alias("tf"))
     grouped = each.groupBy("scope", "term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("postings"))
     low = lambda c: F.array_min(F.transform("postings", lambda p: p[c]))
     high = lambda c: F.array_max(F.transform("postings", lambda p: p[c]))
