@@ -7,7 +7,8 @@ the index is built: statistics come from the postings (the empty term stands for
 
 A block's bound for a query is the sum over terms of what its maxima could give. The FIRST blocks by bound are scored; the k-th
 score among them is a floor; blocks whose bound is below it can't hold one of the k best, and only the others are scored.
-Bounds are kept clear of rounding by SLACK. Results are those of scoring everything.
+Bounds are kept clear of rounding by SLACK. Results are those of scoring everything. Where the queries' words could meet FEW_POSTINGS
+postings at most (words of queries times chunks), bounds cost more than they save, and all blocks are scored in one pass.
 
 Layout: terms go to buckets (folders), so that a query's terms name the folders to read; within a file rows are sorted by scope
 and term. All steps are joins and grouped sums of DataFrames.
@@ -31,6 +32,8 @@ SLACK = 3e-6
 BROADCAST_ROWS = 500_000
 #: Chunks of a block on average, chunks of a scope for each bucket of terms, and blocks that are scored for the floor.
 BLOCK_CHUNKS, BUCKET_CHUNKS, FIRST = 64, 4_000_000, 2
+#: Postings that are scored without asking bounds first; results don't depend on it.
+FEW_POSTINGS = 200_000_000
 _ALL = ""  # the term that all chunks have
 
 
@@ -39,9 +42,10 @@ class Bm25Index:
     chunks: DataFrame  # scope, key, other columns
     blocks: DataFrame  # bucket, scope, term, block, n, dls, max_tf, min_dl, postings
     terms: DataFrame  # bucket, scope, term, df, idf, avgdl
-    stats: DataFrame  # scope, n, avgdl
-    scopes: int  # how many there are, BROADCAST_ROWS + 1 for more
+    stats: DataFrame  # scope, n, avgdl, mean (of its terms' raw idf)
+    scopes: int  # how many there are
     largest: int  # chunks of the largest scope
+    total: int  # chunks of all scopes
     path: str
 
     @property
@@ -61,17 +65,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def postings_of(chunks: DataFrame, scopes: int, counts: DataFrame, buckets: int) -> DataFrame:
-    """The rows of the postings table; reads texts once, and shuffles a row a chunk and term (with over BROADCAST_ROWS scopes, texts too, by scope)."""
+    """The rows of the postings table. Texts are read once and shuffled once, by block: a block's words are counted, and its postings gathered, where it lies."""
     placed = chunks.join(small(counts.select("scope", F.ceil(F.col("n") / BLOCK_CHUNKS).alias("n_blocks")), scopes), "scope")
-    rows = placed.select("scope", "key", F.pmod(F.xxhash64("key"), "n_blocks").alias("block"), tokens("text").alias("words"))
+    dealt = placed.select("scope", "key", F.pmod(F.xxhash64("key"), "n_blocks").alias("block"), "text").repartition("scope", "block")
+    rows = dealt.select("scope", "key", "block", tokens("text").alias("words"))
     every = rows.select("scope", "key", "block", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(_ALL)), "words")).alias("term"))
-    n = F.count(F.lit(1)).cast("int")  # combined where the chunk lies
+    n = F.count(F.lit(1)).cast("int")
     each = every.groupBy("scope", "key", "block", "dl", "term").agg(F.when(F.col("term") == _ALL, F.lit(0)).otherwise(n).alias("tf"))
-    grouped = each.groupBy("scope", "term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("postings"))
-    low = lambda c: F.array_min(F.transform("postings", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("postings", lambda p: p[c]))
-    dls = F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["dl"])
-    cut = grouped.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "scope", "term", "block", F.size("postings").cast("long").alias("n"), dls.alias("dls"), high("tf").alias("max_tf"), low("dl").alias("min_dl"), "postings")
+    gathered = F.sort_array(F.collect_list(F.struct("key", "tf", "dl")))
+    grouped = each.groupBy("scope", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dl").cast("long")).alias("dls"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), gathered.alias("postings"))
+    cut = grouped.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "*").select("bucket", "scope", "term", "block", "n", "dls", "max_tf", "min_dl", "postings")
     return (cut.hint("rebalance", "bucket") if buckets > 1 else cut).sortWithinPartitions("bucket", "scope", "term", "block")
 
 
@@ -79,27 +82,31 @@ def build(chunks: DataFrame, path: str, scope: str = "scope", key: str = "key",
     """Write the index of chunks to path. A term in over half of a scope's chunks gets epsilon times the mean idf of its terms."""
     named = chunks.select(F.col(scope).alias("scope"), F.col(key).alias("key"), F.col(text).alias("text")).where("scope IS NOT NULL AND key IS NOT NULL")
     counts = storage.stored(named.groupBy("scope").agg(F.count(F.lit(1)).alias("n")), f"{path}/counts")  # reads no text
-    total, scopes = counts.agg(F.sum("n")).first()[0] or 0, counts.limit(BROADCAST_ROWS + 1).count()
+    total, scopes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     blocks = storage.stored(postings_of(named, scopes, counts, -(-total // BUCKET_CHUNKS) or 1), f"{path}/postings", "bucket")
-    stats = blocks.where(F.col("term") == _ALL).groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("dls") / F.sum("n")).alias("avgdl"))
-    stats = storage.stored(stats, f"{path}/stats")
     df = blocks.where(F.col("term") != _ALL).groupBy("bucket", "scope", "term").agg(F.sum("n").alias("df"))
-    raw = df.join(small(stats, scopes), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
-    storage.stored(raw.join(small(mean, scopes), "scope").select("bucket", "scope", "term", "df", idf.alias("idf"), "avgdl"), f"{path}/terms")
+    df = storage.stored(df, f"{path}/terms")
+    stats = blocks.where(F.col("term") == _ALL).groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("dls") / F.sum("n")).alias("avgdl"))
+    rare = df.join(small(counts, scopes), "scope").groupBy("scope").agg(F.avg(_raw_idf()).alias("mean"))
+    storage.stored(stats.join(small(rare, scopes), "scope", "left").withColumn("epsilon", F.lit(float(epsilon))), f"{path}/stats")
     return opened(chunks, path, scope, key)
 
 
+def _raw_idf() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
 def opened(chunks: DataFrame, path: str, scope: str = "scope", key: str = "key") -> Bm25Index:
     """The index that build() wrote to path; chunks are asked for conditions on results only."""
     spark: SparkSession = chunks.sparkSession
     s, k = (chunks.schema[c].dataType.simpleString() for c in (scope, key))
     blocks = spark.read.schema(f"bucket int, scope {s}, term string, block long, n long, dls long, max_tf int, min_dl int, postings array<struct<key: {k}, tf: int, dl: int>>").parquet(f"{path}/postings")
-    terms = spark.read.schema(f"bucket int, scope {s}, term string, df long, idf double, avgdl double").parquet(f"{path}/terms")
-    stats = spark.read.schema(f"scope {s}, n long, avgdl double").parquet(f"{path}/stats")
-    largest = stats.agg(F.max("n")).first()[0] or 0
-    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), blocks, terms, stats, stats.limit(BROADCAST_ROWS + 1).count(), largest, path)
+    df = spark.read.schema(f"bucket int, scope {s}, term string, df long").parquet(f"{path}/terms")
+    stats = spark.read.schema(f"scope {s}, n long, avgdl double, mean double, epsilon double").parquet(f"{path}/stats")
+    largest, total, scopes = stats.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    idf = F.when(_raw_idf() < 0, F.col("epsilon") * F.col("mean")).otherwise(_raw_idf())
+    terms = df.join(small(stats, scopes), "scope").select("bucket", "scope", "term", "df", idf.alias("idf"), "avgdl")
+    return Bm25Index(chunks.withColumnsRenamed({scope: "scope", key: "key"}), blocks, terms, stats.drop("epsilon"), scopes, largest, total, path)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
@@ -123,6 +130,7 @@ class Search:
         n = q.limit(BROADCAST_ROWS + 1).count()
         self.index, self.k1, self.b = index, k1, b
         self.most = n if "scope" in q.columns else n * max(index.scopes, 1)
+        self.few = n <= BROADCAST_ROWS and n * index.total <= FEW_POSTINGS
         found = index.terms.join(small(q, n), on)
         self.wanted = found.select("query_id", "bucket", "scope", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
 
@@ -138,23 +146,26 @@ class Search:
         if chosen is None:
             met = rows.join(small(self.wanted, self.most), ["bucket", "scope", "term"])
         else:
-            met = rows.join(small(self.wanted, self.most).join(chosen, ["query_id", "scope"]), ["bucket", "scope", "term", "block"])
+            met = rows.join(small(self.wanted, self.most), ["bucket", "scope", "term"]).join(chosen, ["query_id", "scope", "block"], "left_semi")
         hits = met.select("query_id", "scope", "weight", "avgdl", F.inline("postings"))
         return hits.groupBy("query_id", "scope", "key").agg(F.round(F.sum(F.col("weight") * _part("tf", "dl", self.k1, self.b)), DECIMALS).alias("score"))
 
-    def best(self, k: int, where: Column | None = None) -> DataFrame:
-        """Positive scores that include each query's and scope's k best; the condition is on columns of chunks."""
+    def every(self, where: Column | None = None) -> DataFrame:
+        """All positive scores of chunks for which the condition on columns of chunks holds."""
+        return self._allowed(self.scores(), where)
 
-        def allowed(scored: DataFrame) -> DataFrame:
-            positive = scored.where("score > 0")
-            return positive if where is None else positive.join(self.index.chunks.where(where).select("scope", "key"), ["scope", "key"], "left_semi")
+    def _allowed(self, scored: DataFrame, where: Column | None) -> DataFrame:
+        positive = scored.where("score > 0")
+        return positive if where is None else positive.join(self.index.chunks.where(where).select("scope", "key"), ["scope", "key"], "left_semi")
 
+    def best(self, k: int, where: Column | None = None) -> DataFrame:
+        """Positive scores that include each query's and scope's k best; blocks that can't hold one of them are skipped."""
         if self.index.largest <= FIRST * BLOCK_CHUNKS:  # a scope's blocks are all among the first
-            return allowed(self.scores())
+            return self.every(where)
         bounds = self.bounds().where("bound > 0")
         order = Window.partitionBy("query_id", "scope").orderBy(F.desc("bound"), "block")
         first = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST).select("query_id", "scope", "block")
         by_score = Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "key")
-        floor = allowed(self.scores(first)).withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k).select("query_id", "scope", F.col("score").alias("floor"))
+        floor = self._allowed(self.scores(first), where).withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k).select("query_id", "scope", F.col("score").alias("floor"))
         left = bounds.join(floor, ["query_id", "scope"], "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
-        return allowed(self.scores(left.select("query_id", "scope", "block")))
+        return self._allowed(self.scores(left.select("query_id", "scope", "block")), where)

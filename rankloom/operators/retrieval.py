@@ -45,7 +45,8 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "scope"))
 
 def search_bm25(index: Bm25Index, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
     """(query_id, scope, key, score, rank): positive scores only; `where` on chunk columns after scoring. Blocks that can't matter are skipped."""
-    return top(postings.Search(index, queries).best(k, where), k)
+    asked = postings.Search(index, queries)
+    return top(asked.every(where) if asked.few else asked.best(k, where), k)
 
 
 def search_dense(chunks: DataFrame, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:

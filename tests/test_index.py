@@ -32,6 +32,7 @@ def ranked(df):
 def test_skipping_blocks_changes_nothing(spark, monkeypatch, k, block):
     docs, asked = corpus(spark, 300)
     monkeypatch.setattr(postings, "BLOCK_CHUNKS", block)
+    monkeypatch.setattr(postings, "FEW_POSTINGS", 0)
     index = retrieval.bm25_index(docs)
     assert index.largest > postings.FIRST * block
     for where in (None, F.col("kind") == "x"):
@@ -39,6 +40,7 @@ def test_skipping_blocks_changes_nothing(spark, monkeypatch, k, block):
         if where is not None:
             every = every.join(docs.where(where).select("scope", "key"), ["scope", "key"], "left_semi")
         assert ranked(retrieval.search_bm25(index, asked, k, where)) == ranked(retrieval.top(every, k))
+        assert ranked(retrieval.top(postings.Search(index, asked).every(where), k)) == ranked(retrieval.top(every, k))
 
 
 def test_bounds_hold_and_skip(spark, monkeypatch):
