@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import storage
-from rankloom.operators import postings, vectors
+from rankloom.operators import postings, scan, vectors
 from rankloom.operators.postings import B, DECIMALS, EPSILON, K1, Bm25Index
 
 K, RRF_K, DEPTH = 5, 60, 4
@@ -43,8 +43,13 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "scope"))
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def search_bm25(index: Bm25Index, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
-    """(query_id, scope, key, score, rank): positive scores only; `where` on chunk columns after scoring. Blocks that can't matter are skipped."""
+def search_bm25(index: Bm25Index | scan.Corpus, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
+    """(query_id, scope, key, score, rank): positive scores only; `where` on chunk columns after scoring.
+
+    Of a stored index blocks that can't matter are skipped; a counted corpus is scored where its texts lie, see scan.py.
+    """
+    if isinstance(index, scan.Corpus):
+        return top(scan.best(index, queries, k, where), k)
     asked = postings.Search(index, queries)
     return top(asked.every(where) if asked.few else asked.best(k, where), k)
 
@@ -83,7 +88,7 @@ def fuse(first: DataFrame, second: DataFrame, k: int = K, rrf_k: int = RRF_K) ->
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "scope", "key", "score", "rank", "r1", "r2")
 
 
-def search(strategy: str, index: Bm25Index, chunks: DataFrame | None, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
+def search(strategy: str, index: Bm25Index | scan.Corpus, chunks: DataFrame | None, queries: DataFrame, k: int = K, where: Column | None = None) -> DataFrame:
     """Dispatch. chunks: with vectors, or None without an embedder - then dense is empty and hybrid keeps BM25's order."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
