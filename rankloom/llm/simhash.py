@@ -27,7 +27,7 @@ outside a cluster's largest component meet all others.
 Defined cases: null or empty text has no words, fingerprint 0 and (for near_duplicates) the empty shingle
 set; all such texts are copies of each other. Texts of fewer words than a shingle are one shingle. Very long texts are
 read whole, a text at a time. Ties are resolved by the smallest doc_id. A null doc_id has its own fingerprint's
-component, which is null if no row of it has a doc_id; near_duplicates() never removes rows with a null doc_id. Rows that
+component, which is null if no row of it has a doc_id; without_linked() and without_near_duplicates() never remove rows with a null doc_id. Rows that
 share a doc_id are one document, alike to another if one of its texts is; of several the one with the smallest text stays.
 Empty tables give empty results. Other columns pass through, whatever their names.
 """
@@ -354,8 +354,19 @@ def near_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one document (the smallest doc_id) of each group of alike texts; all columns kept."""
-    extra = saved(near_groups(df, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("doc")).distinct(), "extra")
+    """df with one document (the smallest doc_id) of each group of texts alike by Jaccard; all columns kept."""
+    return _without(df, near_groups(df, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def without_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one document (the smallest doc_id) of each component of groups(): fingerprints that BK-trees link; all columns kept."""
+    found = groups(df.where(df[quoted(id_col)].isNotNull()), id_col=id_col, text_col=text_col, **options)
+    return _without(df, found.where("doc_id <> component_id"), id_col, text_col)
+
+
+def _without(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df without the documents found (doc_id); of rows that share a doc_id one is kept."""
+    extra = saved(found.select(F.col("doc_id").alias("doc")).distinct(), "extra")
     rows = packed(df, doc=df[quoted(id_col)].cast("long"))
     kept = rows.join(extra, "doc", "left_anti")
     again = saved(rows.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").select("doc"), "repeated")

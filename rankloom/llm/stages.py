@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; five-word shingles, similarity 0.8 or more."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each component stays, the one with the smallest doc_id: SimHash fingerprints that BK-trees link within 2 bits."""
+    return simhash.without_linked(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
