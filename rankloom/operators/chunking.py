@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import slug
+from rankloom.operators.arrow import arrow_bytes, slices
 
 MAX_CHARS, OVERLAP = 800, 100
 _HEADER = re.compile(r"^(#{1,6})[^\S\n]+(.*)$", re.M)
@@ -23,7 +25,6 @@ _GAP = re.compile(r"\n\s*\n")
 #: Rows of a batch that become Python strings at once.
 _ROWS = 64
 _BLOCKS = pa.list_(pa.struct([("block", pa.int32()), ("section", pa.string()), ("body", pa.string())]))
-_PIECES = pa.list_(pa.struct([("section", pa.string()), ("text", pa.string())]))
 _TEXTS = pa.list_(pa.string())
 
 
@@ -105,9 +106,30 @@ def blocks(text: Column) -> Column:
     return cut(text)
 
 
+def _exploded(documents: DataFrame, id_col: str, text_col: str, f: Callable[[str], list[tuple]], fields: dict[str, pa.DataType]) -> DataFrame:
+    """A row (doc_id, fields) for each tuple that f gives of a row's text (null: none). Only a slice of a batch is held as Python objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            at, found = [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
+                if text is not None:
+                    found += f(text)
+                    at += [n] * (len(found) - len(at))
+            if found:
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), fields.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *columns], names=["doc_id", *fields])
+
+    arrow_bytes(documents.sparkSession)
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    types = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
+    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{name} {types[kind]}" for name, kind in fields.items())])
+    return rows.mapInArrow(run, schema)
+
+
 def header_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, section, body) for each header block of each row that isn't empty; see blocks(). Nothing is shuffled."""
-    return documents.select(F.col(id_col).alias("doc_id"), F.inline(blocks(F.col(text_col))))
+    """(doc_id, block, section, body) for each header block of each row that isn't empty; see sections_of(). Nothing is shuffled."""
+    return _exploded(documents, id_col, text_col, sections_of, {"block": pa.int32(), "section": pa.string(), "body": pa.string()})
 
 
 def hard_pieces(text: Column, max_chars: int, overlap: int) -> Column:
@@ -136,11 +158,10 @@ def chunks(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVER
     """(chunk_id, doc_id, chunk_ix, section, text); chunk_ix counts from 1 over a row. Nothing is shuffled."""
     checked(max_chars, overlap)
 
-    @F.arrow_udf("array<struct<section: string, text: string>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return _mapped(texts, lambda x: [{"section": section, "text": piece} for _, section, body in sections_of(x) for piece in pieces_of(body, max_chars, overlap)], _PIECES)
+    def cut(text: str) -> list[tuple]:
+        every = [(section, piece) for _, section, body in sections_of(text) for piece in pieces_of(body, max_chars, overlap)]
+        return [(n, *piece) for n, piece in enumerate(every, 1)]
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(F.col(text_col))).alias("pos", "piece"))
-    rows = rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_ix"), "piece.section", "piece.text")
+    rows = _exploded(documents, id_col, text_col, cut, {"chunk_ix": pa.int64(), "section": pa.string(), "text": pa.string()})
     chunk_id = F.concat_ws("-", F.col("doc_id").cast("string"), slug("section"), F.col("chunk_ix").cast("string"))
     return rows.select(chunk_id.alias("chunk_id"), "doc_id", "chunk_ix", "section", "text")
