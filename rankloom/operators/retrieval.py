@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom import storage
 from rankloom.operators import postings, scan, vectors
+from rankloom.operators.arrow import arrow_bytes
 from rankloom.operators.postings import B, DECIMALS, EPSILON, K1, Bm25Index
 
 K, RRF_K, DEPTH = 5, 60, 4
@@ -77,6 +78,26 @@ def search_dense(chunks: DataFrame, queries: DataFrame, k: int = K, where: Colum
     return top(rows.mapInArrow(run, schema), k)
 
 
+def cosine_summary(chunks: DataFrame, queries: DataFrame, k_all: int = 1 << 30) -> DataFrame:
+    """(query_id, n, mean, best) of the cosines of each query (query_id, vector) with all chunks (scope, key, vector); best leaves out
+    the chunk whose key is the query's id. A task hands on a row a query, never a row a pair; beyond QUERY_BYTES of queries pairs meet in tiles."""
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    if (asked.agg(F.sum(vectors.vector_bytes("vector"))).first()[0] or 0) > QUERY_BYTES:
+        found = search_dense(chunks, queries, k_all)
+        best = F.max(F.when(F.col("key") != F.col("query_id"), F.col("score")))
+        return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), best.alias("best"))
+    rows = chunks.where("scope IS NOT NULL").select("scope", "key", F.col("vector").cast("array<double>").alias("vector"))
+    shared = chunks.sparkSession.sparkContext.broadcast(vectors.query_rows(asked.toArrow()))  # QUERY_BYTES at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return vectors.cosine_sums(batches, shared.value)
+
+    arrow_bytes(chunks.sparkSession)
+    parts = rows.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, n long, total long, best double")
+    mean = F.sum("total") / (F.sum("n") * F.lit(10.0**vectors.DECIMALS))
+    return parts.groupBy("query_id").agg(F.sum("n").alias("n"), mean.alias("mean"), F.max("best").alias("best"))
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int = K, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two rankings (query_id, scope, key, rank); ties by first rank, then second."""
     a = first.select("query_id", "scope", "key", F.col("rank").alias("r1"), F.lit(None).cast("long").alias("r2"))

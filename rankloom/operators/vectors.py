@@ -20,8 +20,8 @@ DECIMALS = 6
 TILE_BYTES, PART_BYTES = 16 << 20, 64 << 20
 #: k up to which a task holds its best rows to its end; above, it hands on all rows.
 LOCAL_K = 1000
-#: Rows of chunks in one product.
-ROWS = 1024
+#: Rows of chunks in one product, and scores of cosine_sums() at once.
+ROWS, CELLS = 1024, 1 << 20
 
 
 def unit_rows(vectors: list, size: int) -> np.ndarray:
@@ -152,6 +152,34 @@ def best_cosines(batches: Iterator[pa.RecordBatch], queries: list[tuple], scoped
         yield _rows(out[at : at + 8192], schema)
 
 
+def cosine_sums(batches: Iterator[pa.RecordBatch], queries: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """(query_id, n, total, best) over a task's rows (scope, key, vector): how many, the sum of rounded scores in units of the last
+    decimal (whole numbers, so their order doesn't matter), and the greatest score of a row whose key isn't the query's id (or null)."""
+    groups: dict[int, list] = defaultdict(list)  # by size
+    for q in queries:
+        groups[0 if q[1] is None else len(q[1])].append(q)
+    matrices = {size: unit_rows([q[1] for q in qs], size) for size, qs in groups.items()}
+    places = {size: {q[0]: n for n, q in enumerate(qs)} for size, qs in groups.items()}
+    totals = {size: np.zeros(len(qs), dtype=np.int64) for size, qs in groups.items()}
+    bests = {size: np.full(len(qs), -np.inf) for size, qs in groups.items()}
+    seen, step = 0, max(1, min(ROWS, CELLS // max(map(len, groups.values()), default=1)))
+    for whole in batches:
+        for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+            keys = b.column(1).to_pylist()
+            seen += len(keys)
+            for size, matrix in matrices.items():
+                scores = rounded(_matrix(b.column(2), size) @ matrix.T)
+                totals[size] += np.rint(scores * 10.0**DECIMALS).astype(np.int64).sum(axis=0)
+                for row, key in enumerate(keys):
+                    if (own := places[size].get(key)) is not None:
+                        scores[row, own] = -np.inf
+                np.maximum(bests[size], scores.max(axis=0), out=bests[size])
+    for size, qs in groups.items():
+        if seen:
+            best = pa.array(bests[size], mask=np.isneginf(bests[size]))
+            yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in qs]), pa.array(np.full(len(qs), seen)), pa.array(totals[size]), best], names=["query_id", "n", "total", "best"])
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     ids, scopes, keys, scores = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scopes, type=schema.field(0).type), pa.array(keys, type=schema.field(1).type), pa.array(scores, type=pa.float64())], names=["query_id", "scope", "key", "score"])

@@ -60,3 +60,21 @@ def test_queries_scan(spark, monkeypatch):
     monkeypatch.setattr(postings, "build", None)
     for name in ("rrf_fusion", "bm25_topk_per_source", "doc_len_stats", "bm25_idf", "first_match_rank"):
         assert retrieval_queries.R.queries[name](spark, SF).count() > 0
+
+
+def test_cosine_pairs_hands_on_a_row_a_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "search_dense", None)
+    rows = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 2.0]), ("a", 3, None), ("a", 4, [3.0, 3.0])], "scope string, key long, vector array<double>").repartition(3)
+    q = rows.where("key IN (1, 4)").select(F.col("key").alias("query_id"), "vector")
+    got = {r.query_id: (r.n, round(r.mean, 4), r.best) for r in retrieval.cosine_summary(rows, q).collect()}
+    assert got == {1: (4, 0.4268, 0.707107), 4: (4, 0.6036, 0.707107)}
+
+
+def test_chunks_hold_a_slice_of_a_batch(spark, monkeypatch):
+    from rankloom.operators import chunking
+
+    df = spark.createDataFrame([(n, None if n == 3 else f"# T\n## A\nx{n}\n## B\ny") for n in range(200)], "doc_id long, text string")
+    got = sorted((r.chunk_id, r.text) for r in chunking.chunks(df).collect())
+    assert got == sorted((f"{n}-{s}-{i}", t) for n in range(200) if n != 3 for s, i, t in (("a", 1, f"x{n}"), ("b", 2, "y")))
+    plan = chunking.chunks(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Exchange" not in plan
