@@ -107,3 +107,11 @@ def test_bm25_scores_ask_for_no_vectors(spark, monkeypatch, name):
 def test_letters_are_counted(spark):
     row = spark.sql("SELECT 'Zaß aÄAİ z' AS t, CAST(NULL AS STRING) AS n").select(retrieval_queries._letters(F.col("t")).alias("v"), retrieval_queries._letters(F.col("n")).alias("w")).first()
     assert {c: n for c, n in zip("abcdefghijklmnopqrstuvwxyz", row.v) if n} == {"a": 3.0, "i": 1.0, "z": 2.0} and row.w == [0.0] * 26
+
+
+@pytest.mark.parametrize("name", ["score_bands"])
+def test_queries_build_no_index(spark, monkeypatch, name):
+    """Words are counted and texts scored where they lie: there are no stored postings, and no pairs of them."""
+    monkeypatch.setattr(postings, "build", None)
+    monkeypatch.setattr(postings, "Search", None)
+    assert retrieval_queries.R.queries[name](spark, SF).count() > 0
