@@ -109,7 +109,7 @@ def test_letters_are_counted(spark):
     assert {c: n for c, n in zip("abcdefghijklmnopqrstuvwxyz", row.v) if n} == {"a": 3.0, "i": 1.0, "z": 2.0} and row.w == [0.0] * 26
 
 
-@pytest.mark.parametrize("name", ["score_bands", "bm25_in_section", "bm25_topk_per_source", "bm25_idf", "retrieval_grouping_sets", "bm25_filtered_lang", "hit_recall_mrr_hybrid", "first_match_rank", "bm25_topk", "matched_ranks"])
+@pytest.mark.parametrize("name", ["score_bands", "bm25_in_section", "bm25_topk_per_source", "bm25_idf", "retrieval_grouping_sets", "bm25_filtered_lang", "hit_recall_mrr_hybrid", "first_match_rank", "bm25_topk", "matched_ranks", "hit_recall_mrr_bm25"])
 def test_queries_build_no_index(spark, monkeypatch, name):
     """Words are counted and texts scored where they lie: there are no stored postings, and no pairs of them."""
     monkeypatch.setattr(postings, "build", None)
