@@ -16,9 +16,14 @@ def _text(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def lowered(c: Column | str) -> Column:
+    """The text that words() of operators/arrow.py cuts into the words of tokens()."""
+    return F.lower(F.coalesce(_text(c), F.lit("")))
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case words, hyphens split, punctuation kept, repeats kept; null gives no words."""
-    words = F.split(F.replace(F.lower(F.coalesce(_text(c), F.lit(""))), F.lit("-"), F.lit(" ")), _SPACE)
+    words = F.split(F.replace(lowered(c), F.lit("-"), F.lit(" ")), _SPACE)
     return F.filter(words, lambda w: w != "")
 
 

@@ -1,4 +1,4 @@
-"""Bounds on what Python workers hold: bytes of an Arrow batch, and of a slice of it that becomes Python objects."""
+"""Bounds on what Python workers hold (bytes of an Arrow batch, and of a slice of it that becomes Python objects), and words of a batch."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch where the session still has Spark's default, and bytes and rows of a slice. A row may exceed either.
 BATCH_BYTES, SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 20, 64
+#: Bytes that end a word (ASCII white space and hyphens), and white space beyond ASCII.
+_CUTS = np.isin(np.arange(256), [*range(9, 14), 32, 45])
+_WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _CONF, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
@@ -31,3 +34,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES
             yield b.slice(at, stop - at)
             at = stop
     pa.default_memory_pool().release_unused()
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row and the letters of each word of texts that functions.text.lowered() gave: those of tokens(), without an object a word."""
+    texts = texts.cast(pa.string())
+    if not pc.all(pc.string_is_ascii(texts), min_count=0).as_py():
+        texts = pc.replace_substring_regex(texts, pattern=_WIDE_SPACE, replacement=" ")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets or bytes(4), dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kept = ~_CUTS[data]
+    begins = kept.copy()
+    begins[1:] &= ~kept[:-1]
+    rows = ends[:-1][ends[:-1] < len(data)]
+    begins[rows] = kept[rows]  # a row's first word doesn't go on from the row before
+    row = np.searchsorted(ends, np.flatnonzero(begins), side="right") - 1
+    starts = np.append(np.flatnonzero(begins[kept]), np.count_nonzero(kept)).astype(np.int32)
+    return row, pa.StringArray.from_buffers(len(row), pa.py_buffer(starts), pa.py_buffer(data[kept]))

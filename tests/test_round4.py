@@ -1,9 +1,12 @@
 """BM25 where texts lie: the same results as those of the stored index, without a shuffle of texts or pairs."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import lowered, tokens
 from rankloom.operators import postings, retrieval, scan
+from rankloom.operators.arrow import words
 from rankloom.plans import retrieval_queries
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +118,25 @@ def test_queries_build_no_index(spark, monkeypatch, name):
     monkeypatch.setattr(postings, "build", None)
     monkeypatch.setattr(postings, "Search", None)
     assert retrieval_queries.R.queries[name](spark, SF).count() > 0
+
+
+def test_words_are_those_of_tokens(spark):
+    """Texts are cut into words by bytes in tasks, as tokens() cuts them in the JVM."""
+    cuts = "\t\n\x0b\x0c\r -\x85\xa0        　"
+    near = ["\x1c", "\x1f", "\x08", "\x0e", "᠎", "​", "‐", "⁠", "﻿", "İß", "ÄÉ", "日本", "\U0001f600", ".", "A"]
+    texts = [None, "", " ", "-", *[f"{c}Aa{c}{c}b{c}" for c in cuts], *[f"x{c}y z" for c in near], "", "a", "b", "".join(x + y for x in near for y in cuts), "Ends-here", "x"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, t string").coalesce(1).sortWithinPartitions("n")
+    got = df.select("n", lowered("t").alias("low"), tokens("t").alias("want")).toArrow()
+    for part in (got, got.slice(3, 20), got.slice(2, 1), got.slice(0, 0)):
+        low = part["low"].combine_chunks() if len(part) else pa.array([], pa.string())
+        row, found = words(low)
+        want = [(n, w) for n, ws in enumerate(part["want"].to_pylist()) for w in ws]
+        assert list(zip(row.tolist(), found.to_pylist(), strict=True)) == want
+    found.validate(full=True)
+
+
+def test_scan_cuts_words_in_tasks(spark, docs, asked):
+    """No regular expression of the JVM cuts texts, neither for counts nor for scores."""
+    corpus = scan.counted(docs)
+    plan = scan.best(corpus, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "lower(" in plan
