@@ -140,3 +140,11 @@ def test_scan_cuts_words_in_tasks(spark, docs, asked):
     corpus = scan.counted(docs)
     plan = scan.best(corpus, asked, 5)._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan and "lower(" in plan
+
+
+def test_letters_are_counted_in_tasks(spark):
+    """A text's letters are counted in one pass over its bytes, not by a replacement a letter; rows keep their order in slices."""
+    rows = [(n, t) for n, t in enumerate([None, "", "abcz", "B-é b", "", "zz" * 500, "日本a"])]
+    df = spark.createDataFrame(rows, "n long, t string").select("n", retrieval_queries._letters(F.col("t")).alias("v"))
+    assert "replace(" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r.n: r.v for r in df.collect()} == {n: [float((t or "").lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for n, t in rows}
